@@ -1 +1,20 @@
-"""Query registry: one callable per operator, with its SQL where SQL can say it."""
+"""Query registry: name -> callable over the tables of a folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from logloom.llm.encode import encode_texts
+from logloom.runtime import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p6_ids": p6_ids}
