@@ -112,3 +112,12 @@ def event_runs(events: DataFrame, min_rows: int = 2) -> DataFrame:
     said = F.when(~is_blank(F.col("message")), F.concat(F.lower(F.coalesce("reason", F.lit(""))), F.lit("\n"), saying(F.col("message"))))
     rows = events.select("namespace", "object_name", "event_id", said.alias("said"), F.unix_micros(event_time()).alias("us"), count.alias("times"))
     return collapse_runs(rows, ["namespace", "object_name"], "us", "event_id", "said", "us", "times", min_rows=min_rows)
+
+
+def all_runs(entries: DataFrame, events: DataFrame) -> DataFrame:
+    """Runs of both sources with ``src`` and one ``seq_key`` for each sequence."""
+    values = ["first_no", "last_no", "n_rows", "n_total", "duration_us"]
+    said = entry_runs(entries).select(F.lit("entry").alias("src"), F.coalesce("stream_id", F.lit("")).alias("seq_key"), *values)
+    key = F.concat(F.coalesce("namespace", F.lit("")), F.lit("/"), F.coalesce("object_name", F.lit("")))
+    happened = event_runs(events).select(F.lit("event").alias("src"), key.alias("seq_key"), *values)
+    return said.unionByName(happened)

@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm.encode import encode_texts
+from logloom.llm.runs import all_runs
 from logloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbours that say the same, of log entries and of cluster events."""
+    return all_runs(table(spark, sf_dir, "entries"), table(spark, sf_dir, "pod_events"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids}
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p6_ids": p6_ids}
