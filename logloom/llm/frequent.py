@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.text import is_blank, message_template
 from logloom.runtime import ship
 
 SKETCH_WIDTH = 1 << 16
@@ -128,3 +129,12 @@ def frequent_values(df: DataFrame, column: str, share: float = 0.005, width: int
     # At most 1/share values plus collisions reach the threshold: a proven bound.
     counted = values.join(F.broadcast(heavy), "value").groupBy("value", "estimate").agg(F.count(F.lit(1)).alias("n"))
     return counted.where(F.col("n") >= keep)
+
+
+def frequent_messages(entries: DataFrame, share: float = 0.005) -> DataFrame:
+    """``kind``, ``value`` and ``n`` of the messages and of the templates held by at
+    least ``share`` of the rows whose message is neither null nor blank."""
+    base = entries.select("message").where(~is_blank(F.col("message")))
+    template = base.select(message_template(F.col("message")).alias("template"))
+    found = [frequent_values(rows, kind, share).select(F.lit(kind).alias("kind"), "value", "n") for kind, rows in (("message", base), ("template", template))]
+    return found[0].unionByName(found[1])

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm.encode import encode_texts
+from logloom.llm.frequent import frequent_messages
 from logloom.llm.runs import all_runs
 from logloom.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and message templates that are frequent among the decoded entries."""
+    return frequent_messages(table(spark, sf_dir, "entries")).select("kind", "value")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of neighbours that say the same, of log entries and of cluster events."""
     return all_runs(table(spark, sf_dir, "entries"), table(spark, sf_dir, "pod_events"))
@@ -23,4 +29,4 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p6_ids": p6_ids}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids}
