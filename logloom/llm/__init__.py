@@ -1,4 +1,5 @@
-"""Operators for training data: frequent items, runs, encoding, leaks, look-alikes.
+"""Operators for training data: frequent items, failing records, runs, instants,
+encoding, leaks, look-alikes.
 
-Nothing else in the library imports this package.
+Only the query registry in plans imports this package.
 """

@@ -1,0 +1,118 @@
+"""Instants of time texts of many shapes, in microseconds of UTC.
+
+A local time is placed by the offset history of its zone: one that occurs twice means
+the earlier instant, a skipped one is read with the offset in force before the change.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta, timezone
+from decimal import Decimal
+from functools import lru_cache
+from zoneinfo import ZoneInfo
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logloom.runtime import ship
+
+_MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+_MON, _DAY = r"(?P<mon>[A-Za-z]{3})", r"(?:mon|tue|wed|thu|fri|sat|sun)"
+_CLOCK = r"(?P<H>[0-9]{2}):(?P<M>[0-9]{2}):(?P<S>[0-9]{2})(?:[.,](?P<f>[0-9]+))?"
+_ZONE = r"(?P<z>Z|(?:UTC|GMT)?[+-][0-9]{2}(?::?[0-9]{2})?|[A-Z]{2,5})"
+_SHAPES = [
+    re.compile(x, re.I | re.A)
+    for x in (
+        rf"(?P<y>[0-9]{{4}})(?P<s>[-/])(?P<m>[0-9]{{2}})(?P=s)(?P<d>[0-9]{{2}})(?:(?:T| +)(?P<H>[0-9]{{2}}):(?P<M>[0-9]{{2}})(?::(?P<S>[0-9]{{2}})(?:[.,](?P<f>[0-9]+))?)?(?: *{_ZONE})?)?",
+        rf"(?P<y>[0-9]{{4}})(?P<m>[0-9]{{2}})(?P<d>[0-9]{{2}})(?:T(?P<H>[0-9]{{2}})(?P<M>[0-9]{{2}})(?P<S>[0-9]{{2}})(?:[.,](?P<f>[0-9]+))?(?: *{_ZONE})?)?",
+        rf"{_DAY} +{_MON} +(?P<d>[0-9]{{1,2}}) +{_CLOCK}(?: +{_ZONE})? +(?P<y>[0-9]{{4}})",
+        rf"(?:{_DAY}, +)?(?P<d>[0-9]{{1,2}}) +{_MON} +(?P<y>[0-9]{{4}}) +{_CLOCK}(?: *{_ZONE})?",
+        rf"(?P<d>[0-9]{{1,2}})/{_MON}/(?P<y>[0-9]{{4}}):{_CLOCK}(?: *{_ZONE})?",
+        rf"{_MON} +(?P<d>[0-9]{{1,2}}), +(?P<y>[0-9]{{4}}) +(?P<H>[0-9]{{1,2}}):(?P<M>[0-9]{{2}})(?::(?P<S>[0-9]{{2}})(?:[.,](?P<f>[0-9]+))?)? +(?P<half>[AP])M(?: *{_ZONE})?",
+    )
+]
+_NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?")
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+_zone = lru_cache(maxsize=None)(ZoneInfo)
+
+
+def _epoch(text: str) -> int | None:
+    """Seconds, or from 1e11 on milli-, from 1e15 micro- and from 1e18 nanoseconds."""
+    if len(text) > 40:
+        return None
+    value = Decimal(text)
+    if value >= 1 << 63:
+        return None
+    scale = Decimal("0.001") if value >= 10**18 else 1 if value >= 10**15 else 1000 if value >= 10**11 else 1_000_000
+    return int(value * scale // 1)
+
+
+def _offset(zone: str, words: dict[str, int]) -> timedelta | None:
+    zone = zone.upper()
+    if zone == "Z":
+        return timedelta(0)
+    sign = max(zone.find("+"), zone.find("-"))
+    if sign < 0:
+        return timedelta(minutes=words[zone]) if zone in words else None
+    digits = zone[sign + 1 :].replace(":", "").ljust(4, "0")
+    hours, minutes = int(digits[:2]), int(digits[2:])
+    if hours > 18 or minutes > 59:
+        return None
+    return timedelta(hours=hours, minutes=minutes) * (-1 if zone[sign] == "-" else 1)
+
+
+def instant(text: str | None, zone: str | None, words: dict[str, int]) -> int | None:
+    """Microseconds since 1970 UTC of a time text, or None if it is no real time.
+
+    ``zone`` is the zone where the text names none; ``words`` are minutes by zone word.
+    """
+    text = (text or "").strip()
+    found = next((m for shape in _SHAPES if (m := shape.fullmatch(text))), None)
+    if not found:
+        return _epoch(text) if _NUMBER.fullmatch(text) else None
+    part = {"H": None, "M": None, "S": None, "f": None, "z": None, "half": None, "m": None, "mon": None} | found.groupdict()
+    month = int(part["m"]) if part["m"] else _MONTHS.get(part["mon"].lower(), 0)
+    hour = int(part["H"] or 0)
+    if part["half"]:
+        if not 1 <= hour <= 12:
+            return None
+        hour = hour % 12 + 12 * (part["half"] in "Pp")
+    try:
+        local = datetime(int(part["y"]), month, int(part["d"]), hour, int(part["M"] or 0), int(part["S"] or 0), int((part["f"] or "")[:6].ljust(6, "0")))
+        if local.year == 1:
+            return None
+        if part["z"]:
+            offset = _offset(part["z"], words)
+            if offset is None:
+                return None
+            at = local.replace(tzinfo=timezone(offset))
+        else:
+            at = local.replace(tzinfo=_zone(zone) if zone else UTC)
+        return (at - _EPOCH) // timedelta(microseconds=1)
+    except (ValueError, OverflowError):
+        return None
+
+
+def _instants(words: dict[str, int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us = [instant(t, z, words) for t, z in zip(batch.column("text").to_pylist(), batch.column("zone").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("rec_id"), pa.array(us, pa.int64())], names=["src", "rec_id", "utc_us"])
+
+    return run
+
+
+def text_instants(json_entries: DataFrame, timeline_items: DataFrame, zone_names: DataFrame) -> DataFrame:
+    """``src``, ``rec_id`` and ``utc_us`` of every record whose text is a real time.
+
+    ``zone_names`` is a small fixed table and is gathered.
+    """
+    ship(json_entries.sparkSession)
+    words = {r.abbrev.upper(): r.offset_min for r in zone_names.select("abbrev", "offset_min").collect()}
+    rows = json_entries.select(F.lit("json").alias("src"), "rec_id", F.col("time").alias("text"), "zone")
+    rows = rows.unionByName(timeline_items.select(F.lit("timeline").alias("src"), "rec_id", F.col("stamp").alias("text"), "zone"))
+    found = rows.mapInArrow(_instants(words), "src string, rec_id bigint, utc_us bigint")
+    return found.where(F.col("utc_us").isNotNull()).distinct()

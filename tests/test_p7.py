@@ -1,0 +1,33 @@
+from itertools import product
+
+import __spark_entry__ as driver
+from logloom.llm.leaks import Passages, words
+from logloom.runtime import table
+
+ITEM = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen."
+
+
+def holds(text):
+    return bool(Passages([(1, ITEM)]).search(text))
+
+
+def test_words():
+    assert words("Fo\u00adllow-\n up A-b m\u00b2 \uff21\u0441e_x r\u0435s\u00e9") == ["followup", "a", "b", "m", "ace", "x", "res\u00e9"]
+
+
+def test_passages():
+    assert holds("x y z " + ITEM) and holds(ITEM.upper().replace(" ", ",\n - "))
+    assert holds("two three four five six seven eight nine ten eleven twelve thirteen")
+    assert not holds("two three four five six seven eight nine ten eleven twelve 13")
+    assert holds("two three four five sev six " + "two three four five six sev-\nen eight nine t\u0435n eleven twelve thirteen and")
+
+
+def test_p7_agrees_with_trying_every_pair(spark, small):
+    grams = lambda own: {tuple(own[i : i + 12]) for i in range(len(own) - 11)}
+    docs = {r.doc_id: grams(words(r.text)) for r in table(spark, small, "documents").collect() if r.text}
+    items = {r.item_id: grams(words(r.text)) for r in table(spark, small, "eval_items").collect() if r.text}
+    want = {(d, i) for d, i in product(docs, items) if docs[d] & items[i]}
+    got = driver.queries()["p7_found"](spark, small)
+    assert got.dtypes == [("doc_id", "bigint"), ("item_id", "bigint")]
+    rows = [tuple(r) for r in got.collect()]
+    assert want and len(rows) == len(want) and set(rows) == want

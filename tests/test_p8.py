@@ -1,0 +1,31 @@
+import pytest
+
+import __spark_entry__ as driver
+from logloom.functions.looks import looks
+from logloom.llm.lookalikes import look_alikes
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("caf\u00e9", "cafe\u0301"), ("file 12", "\ufb01le\u00a0\uff11\uff12"), ("no\u200bw\ufeff", "now"), ("a\tb", "a\u2009b"), ("paper", "\u0440\u0430\u0440\u0435r"), ("NO", "\u039d\u039f"), ("\u0451", "e\u0308"), ("1-2/3", "1\u22122\u22153"), ("\u00b5m", "\u03bcm"), ("\u30ac", "\uff76\uff9e"), ("K\u00c5", "\u212a\u212b")],
+)
+def test_same_look(a, b):
+    assert looks(a) == looks(b)
+
+
+@pytest.mark.parametrize(("a", "b"), [("m2", "m\u00b2"), ("x1", "x\u2081"), ("resume", "r\u00e9sum\u00e9"), ("a", "A"), ("a b", "ab"), ("a.", "a;"), ("a b", "a  b"), ("O", "0"), ("l", "1"), ("a b", "a\nb")])
+def test_other_look(a, b):
+    assert looks(a) != looks(b)
+
+
+def test_pairs(spark):
+    rows = [(1, "a b"), (2, "a\u00a0b"), (3, "a b"), (4, "ab"), (5, ""), (6, None), (7, "\u0430 b")]
+    got = look_alikes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (1, 7), (2, 3), (2, 7), (3, 7)]
+
+
+def test_p8_gives_pairs_once(spark):
+    got = driver.queries()["p8_found"](spark, "/root/testdata/sf0.01")
+    assert got.dtypes == [("doc_id_a", "bigint"), ("doc_id_b", "bigint")]
+    rows = [tuple(r) for r in got.collect()]
+    assert rows and len(rows) == len(set(rows)) and all(a < b for a, b in rows)
