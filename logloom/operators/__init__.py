@@ -1 +1 @@
-"""DataFrame operators: decoding, grouping, filtering, digests, timelines."""
+"""Block arithmetic for operators that depend on order."""

@@ -1 +1 @@
-"""Readers that turn files, streams and tables into ordered log lines."""
+"""Place for readers; there are none yet."""

@@ -1 +1 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Place for Structured Streaming forms; there are none yet."""
