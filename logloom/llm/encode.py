@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.runtime import ship
+from logloom.runtime import materialize, ship
 
 LONG_CHARS = 8192
 _CACHE_ENTRIES, _CACHE_CHARS = 1 << 17, 48
@@ -271,7 +271,8 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_p
     kind = rows.schema["_key"].dataType.simpleString()
     is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
     short = rows.where(~is_long).mapInArrow(_encode_batches(ranks_path), f"_key {kind}, ids array<int>")
-    long_rows = rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
+    # Written out, since it is read twice: row numbers must be the same both times.
+    long_rows = materialize(rows.where(is_long).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
     pieces = long_rows.select("_row", "text").mapInArrow(_cut_batches(ranks_path, long_chars), "_row bigint, _pos int, _sure boolean, text string")
     spread = pieces.repartition("_row", "_pos").withColumn("_text", F.col("text"))
     coded = spread.mapInArrow(_encode_batches(ranks_path), "_row bigint, _pos int, _sure boolean, _text string, ids array<int>")

@@ -1,0 +1,19 @@
+from logloom.llm.encode import default_ranks, encode_texts, encoder
+
+
+def test_long_texts_keep_their_keys_whatever_the_order(spark):
+    def any_order(batches):
+        """Rows in another order each time, as behind a shuffle."""
+        import random
+
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in b.to_pylist()]
+        random.SystemRandom().shuffle(rows)
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    texts = {k: f"number {k} is a long text of its own, {k * 7919} words" for k in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1).mapInArrow(any_order, "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in encode_texts(rows, long_chars=8).collect()}
+    whole = encoder(default_ranks()).whole
+    assert got == {k: whole.encode_ordinary(t) for k, t in texts.items()}
