@@ -1,18 +1,17 @@
 """Most frequent values of a column with bounded memory.
 
 Values are collapsed to (value, count) on the map side, hash-partitioned by value, and
-each partition runs a count-min sketch with conservative update next to a heap of the
-values whose estimate reaches the threshold. Partitions hold disjoint values, so their
-heaps merge by concatenation. A sketch never under-estimates, so the merged heap is a
-superset of the answer and one exact count of those few candidates finishes the job.
+each partition runs a count-min sketch with conservative update, handing on the values
+whose estimate reaches the threshold, so many at a time. A sketch never under-estimates,
+so these are a superset of the answer and one exact count of them finishes the job: by a
+broadcast while they are few, by a shuffle if they are not.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
+from math import ceil, e, log2
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import is_blank, message_template
-from logloom.runtime import ship
+from logloom.runtime import materialize, ship
 
-SKETCH_WIDTH = 1 << 16
+SKETCH_WIDTH, MAX_WIDTH = 1 << 16, 1 << 20
 SKETCH_DEPTH = 4
+CAPACITY = 1 << 14
 _FLUSH_ROWS = 1 << 18
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -51,30 +51,6 @@ class CountMinSketch:
         return new
 
 
-class HeavyHeap:
-    """Heap of candidates by estimate. It grows beyond ``capacity`` only for values at
-    or above ``keep``, of which a stream of n rows has at most n / keep apart from
-    hash collisions; so it is bounded, and never loses a value at or above ``keep``."""
-
-    def __init__(self, capacity: int, keep: int) -> None:
-        self.capacity, self.keep = capacity, keep
-        self.best: dict[str, int] = {}
-        self.heap: list[tuple[int, str]] = []
-
-    def offer(self, value: str, estimate: int) -> None:
-        self.best[value] = estimate
-        heapq.heappush(self.heap, (estimate, value))
-        while self.heap and (len(self.best) > self.capacity or len(self.heap) > 4 * self.capacity + 64):
-            low, name = self.heap[0]
-            if self.best.get(name) != low:
-                heapq.heappop(self.heap)
-            elif len(self.best) > self.capacity and low < self.keep:
-                heapq.heappop(self.heap)
-                del self.best[name]
-            else:
-                break
-
-
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).group_by(["value", "hash"]).aggregate([("n", "sum")])
@@ -92,29 +68,43 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-def _sketcher(keep: int, width: int, depth: int):
+def sketch_width(share: float, parts: int) -> int:
+    """Width at which the expected error in one of ``parts`` partitions, e / width of its
+    rows, stays below an eighth of the threshold; within fixed bounds of memory."""
+    wanted = 8 * e / (share * parts)
+    return min(MAX_WIDTH, max(SKETCH_WIDTH, 1 << ceil(log2(wanted))))
+
+
+def _sketcher(keep: int, width: int, depth: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, heap = CountMinSketch(width, depth), HeavyHeap(1024, keep)
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"value": pa.array(list(best), pa.string()), "estimate": pa.array(list(best.values()), pa.int64())})
+
+        sketch, best = CountMinSketch(width, depth), {}
         for batch in _collapse(batches):
             hashes = batch.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             counts = batch.column("n").to_numpy(zero_copy_only=False)
             estimates = sketch.add(hashes, counts)
             heavy = np.nonzero(estimates >= keep)[0]
             for value, estimate in zip(batch.column("value").take(pa.array(heavy)).to_pylist(), estimates[heavy].tolist(), strict=True):
-                heap.offer(value, estimate)
-        if heap.best:
-            yield pa.RecordBatch.from_pydict({"value": pa.array(list(heap.best), pa.string()), "estimate": pa.array(list(heap.best.values()), pa.int64())})
+                best[value] = estimate
+                if len(best) >= capacity:
+                    yield flush()
+                    best.clear()
+        if best:
+            yield flush()
 
     return run
 
 
-def frequent_values(df: DataFrame, column: str, share: float = 0.005, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH) -> DataFrame:
+def frequent_values(df: DataFrame, column: str, share: float = 0.005, width: int | None = None, depth: int = SKETCH_DEPTH, capacity: int = CAPACITY) -> DataFrame:
     """Values of ``column`` held by at least ``share`` of its non-null rows.
 
     Returns ``value``, ``estimate`` (sketch, never below the count) and ``n`` (exact).
     Null values are not rows of the base; repeated rows count each time; ties at the
     threshold are kept; an empty table gives no rows; other columns are ignored. Long
-    values are handled whole. ``share`` must be in (0, 1].
+    values are handled whole. ``share`` must be in (0, 1]. A task holds at most
+    ``capacity`` candidates at once, and no more than that are broadcast.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
@@ -125,9 +115,12 @@ def frequent_values(df: DataFrame, column: str, share: float = 0.005, width: int
     ready = values.select("value", F.xxhash64("value").alias("hash"), F.lit(1).cast("bigint").alias("n"))
     small = ready.mapInArrow(_collapse, "value string, hash bigint, n bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    heavy = small.repartition(parts, "hash").mapInArrow(_sketcher(keep, width, depth), "value string, estimate bigint")
-    # At most 1/share values plus collisions reach the threshold: a proven bound.
-    counted = values.join(F.broadcast(heavy), "value").groupBy("value", "estimate").agg(F.count(F.lit(1)).alias("n"))
+    width = width or sketch_width(share, parts)
+    heavy = small.repartition(parts, "hash").mapInArrow(_sketcher(keep, width, depth, capacity), "value string, estimate bigint")
+    # A value that was handed on several times had its last and largest estimate last.
+    heavy = materialize(heavy.groupBy("value").agg(F.max("estimate").alias("estimate")), "candidates")
+    heavy = F.broadcast(heavy) if heavy.count() <= capacity else heavy.hint("merge")
+    counted = values.join(heavy, "value").groupBy("value", "estimate").agg(F.count(F.lit(1)).alias("n"))
     return counted.where(F.col("n") >= keep)
 
 

@@ -1,0 +1,16 @@
+from logloom.llm.frequent import MAX_WIDTH, SKETCH_WIDTH, frequent_values, sketch_width
+
+
+def test_width_follows_the_share():
+    assert sketch_width(0.005, 8) == SKETCH_WIDTH
+    assert 8 * 2.7183 / sketch_width(1e-5, 8) <= 1e-5 * 8
+    assert sketch_width(1e-12, 8) == MAX_WIDTH
+
+
+def test_more_candidates_than_fit_are_not_broadcast(spark):
+    rows = spark.range(4000).selectExpr("cast(id % 2000 as string) as v")
+    got = frequent_values(rows, "v", share=0.0005, capacity=50)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = got.collect()
+    assert len(found) == 2000 and all(r.n == 2 and r.estimate >= 2 for r in found)
