@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import is_blank, saying
-from logloom.operators.blocks import TARGET_ROWS, block_of, block_width
+from logloom.operators.blocks import TARGET_ROWS, block_between, order_cuts
 
 EVENT_TIME = ("event_time", "last_ts", "first_ts", "created_ts")
 
@@ -19,7 +19,7 @@ EVENT_TIME = ("event_time", "last_ts", "first_ts", "created_ts")
 def collapse_runs(df: DataFrame, seq: list[str], order: str, number: str, value: str, at_us: str, weight: str, target_rows: int = TARGET_ROWS, min_rows: int = 1) -> DataFrame:
     """One row per longest run of neighbours with equal ``value``.
 
-    ``seq`` names the sequence, ``order`` (integer) and then ``number`` order it, and
+    ``seq`` names the sequence, ``order`` and then ``number`` order it, and
     ``number`` identifies a row within it: repeated rows count once. A null ``value``
     belongs to no run and ends one. Rows with a null ``order`` or ``number`` come
     first in their sequence. Null keys form a sequence of their own. Columns of ``df``
@@ -38,10 +38,10 @@ def collapse_runs(df: DataFrame, seq: list[str], order: str, number: str, value:
         F.col(at_us).cast("bigint").alias("_us"),
         F.col(weight).cast("bigint").alias("_weight"),
     )
-    rows = rows.withColumn("_block", block_of(F.col("_order"), block_width(rows, F.col("_order"), target_rows)))
+    rows = rows.withColumn("_block", block_between(F.col("_order"), F.col("_no"), order_cuts(rows, F.col("_order"), target_rows), target_rows))
     part = [*keys, "_block"]
     along = Window.partitionBy(*part).orderBy("_order", "_no")
-    once = rows.withColumn("_seen", F.lag(F.struct("_order", "_no")).over(along).eqNullSafe(F.struct("_order", "_no"))).where(~F.col("_seen"))
+    once = rows.withColumn("_seen", F.lag(F.struct("_order", "_no")).over(along).eqNullSafe(F.struct("_order", "_no")) & F.col("_no").isNotNull()).where(~F.col("_seen"))
     numbered = once.withColumns(
         {
             "_rn": F.row_number().over(along),

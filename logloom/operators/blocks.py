@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TARGET_ROWS = 1 << 16
+TARGET_ROWS, MOST_BLOCKS = 1 << 16, 1 << 12
 
 
 def block_width(df: DataFrame, order: Column, target_rows: int = TARGET_ROWS) -> int:
@@ -28,3 +28,24 @@ def block_width(df: DataFrame, order: Column, target_rows: int = TARGET_ROWS) ->
 def block_of(order: Column, width: int) -> Column:
     """Block number of a row; null orders share block 0."""
     return F.coalesce(F.floor(order / F.lit(width)).cast("bigint"), F.lit(0))
+
+
+def order_cuts(df: DataFrame, order: Column, target_rows: int = TARGET_ROWS) -> list[int]:
+    """Where to cut ``order`` so that about ``target_rows`` rows of ``df`` lie between two
+    neighbours, however unevenly its values are spread. Equal values stay together."""
+    n = df.agg(F.count(order)).first()[0]
+    parts = min(MOST_BLOCKS, -(-n // target_rows))
+    if parts < 2:
+        return []
+    at = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    return sorted(set(at))
+
+
+def block_between(order: Column, number: Column, cuts: list[int], target_rows: int = TARGET_ROWS) -> Column:
+    """Block number of a row: even, by ``cuts``; odd for a null ``order``, by ``number``."""
+    depth = len(cuts).bit_length()
+    padded = F.array(*[F.lit(c).cast("bigint") for c in cuts + [(1 << 63) - 1] * ((1 << depth) - 1 - len(cuts))])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(depth))])
+    known = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.element_at(padded, at + s) <= order, at + s).otherwise(at)) if cuts else F.lit(0)
+    unknown = F.coalesce(2 * F.floor(number / F.lit(target_rows)).cast("bigint") + 1, F.lit(-(1 << 62) + 1))
+    return F.when(order.isNull(), unknown).otherwise(2 * known.cast("bigint"))

@@ -1,0 +1,21 @@
+from pyspark.sql import functions as F
+
+from logloom.llm.runs import collapse_runs
+from logloom.operators.blocks import block_between, order_cuts
+
+
+def test_one_stray_time_leaves_blocks_even(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") == 999, 1 << 50).when(F.col("id") >= 900, F.lit(None)).otherwise(F.col("id")).alias("o"), F.col("id").alias("n"))
+    cuts = order_cuts(rows, F.col("o"), 50)
+    sizes = [r["count"] for r in rows.groupBy(block_between(F.col("o"), F.col("n"), cuts, 50)).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 110
+
+
+def test_runs_across_blocks_and_rows_without_number(spark):
+    rows = [("a", i if i < 60 else None, i, "x" if i % 20 else "y", i, 1) for i in range(90)] + [("b", None, None, "z", None, 1)] * 2 + [("a", 5, 5, "x", 5, 1)]
+    df = spark.createDataFrame(rows, "k string, o bigint, n bigint, v string, t bigint, w int")
+    want = sorted(map(tuple, collapse_runs(df, ["k"], "o", "n", "v", "t", "w").collect()), key=str)
+    for size in (3, 7, 25):
+        assert sorted(map(tuple, collapse_runs(df, ["k"], "o", "n", "v", "t", "w", target_rows=size).collect()), key=str) == want
+    assert [r for r in want if r[0] == "b"] == [("b", None, None, 2, 2, 0)]
+    assert ("a", 1, 19, 19, 19, 18) in want
