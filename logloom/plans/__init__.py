@@ -1,4 +1,4 @@
-"""Query registry: name -> callable over the tables of a folder."""
+"""Query registry: name -> callable over the tables of a folder, and its SQL."""
 
 from __future__ import annotations
 
@@ -6,24 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm.encode import encode_texts
-from logloom.llm.frequent import frequent_messages
-from logloom.llm.instants import text_instants
-from logloom.llm.leaks import leaks
-from logloom.llm.lines import line_entries
-from logloom.llm.lookalikes import look_alikes
-from logloom.llm.records import failing_records
-from logloom.llm.runs import all_runs
+from logloom.functions.instants import text_instants
+from logloom.operators.entries import line_entries
 from logloom.runtime import table
+from logloom.sources.records import failing_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and message templates that are frequent among the decoded entries."""
-    return frequent_messages(table(spark, sf_dir, "entries")).select("kind", "value")
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records that do not fit their declared format, with the reason."""
     return failing_records(table(spark, sf_dir, "raw_records"))
@@ -34,29 +24,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_entries(table(spark, sf_dir, "log_lines"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of neighbours that say the same, of log entries and of cluster events."""
-    return all_runs(table(spark, sf_dir, "entries"), table(spark, sf_dir, "pod_events"))
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The instant of every time text that is a real time."""
     return text_instants(table(spark, sf_dir, "json_entries"), table(spark, sf_dir, "timeline_items"), table(spark, sf_dir, "zone_names"))
 
 
-def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return encode_texts(table(spark, sf_dir, "documents"))
-
-
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the questions whose passages they hold."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-
-
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents stored differently that look the same."""
-    return look_alikes(table(spark, sf_dir, "documents"))
-
-
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+SQL: dict[str, str] = {}

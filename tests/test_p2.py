@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as driver
-from logloom.llm.records import reason
+from logloom.sources.records import reason
 from logloom.runtime import table
 
 CSV = '2026-05-06T06:16:22.095Z,Error,cache,201,5.0,'

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as driver
-from logloom.llm.lines import line_entries, read_line
+from logloom.operators.entries import line_entries, read_line
 from logloom.runtime import table
 
 AT = 1_772_971_200_000_000  # 2026-03-08 12:00:00 UTC
