@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.looks import looks
+from logloom.llm.looks import looks
 from logloom.runtime import ship
 
 MIN_WORDS = 12
