@@ -16,52 +16,28 @@ the window or the right side, since the window shares its outer tokens with them
 from __future__ import annotations
 
 import base64
-import re
-import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.runtime import materialize, ship
+from logloom.runtime import ship
 
 LONG_CHARS = 8192
-_CACHE_ENTRIES, _CACHE_CHARS = 1 << 17, 48
 _FLUSH_IDS = 1 << 20
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The White_Space characters of Unicode, as the splitting pattern knows them.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+_SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
 
-
-def _class(*categories: str) -> tuple[str, list[tuple[int, int]]]:
-    """Regex class body of all code points whose category starts with one of these."""
-    ranges: list[tuple[int, int]] = []
-    for cp in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(cp)).startswith(categories):
-            if ranges and ranges[-1][1] == cp - 1:
-                ranges[-1] = (ranges[-1][0], cp)
-            else:
-                ranges.append((cp, cp))
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges), ranges
-
-
-class _Pieces(dict):
-    """Ids (as int32 bytes) of short pieces, made on first use; bounded in size."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece.encode("utf-8", "replace")), dtype=np.int32).tobytes()
-        if len(piece) <= _CACHE_CHARS:
-            if len(self) >= _CACHE_ENTRIES:
-                self.clear()
-            self[piece] = ids
-        return ids
+#: ids, whether the start is a sure edge, and bytes of the first and of the last run.
+Part = tuple[list[int], bool, int, int]
 
 
 class Encoder:
@@ -72,28 +48,19 @@ class Encoder:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = self.whole.encode_ordinary
         self.single = self.whole._core_bpe.encode_single_piece
-        self.token_bytes = {rank: token for token, rank in ranks.items()}
-        letters, digits, space = _class("L")[0], _class("N")[0], re.escape(_SPACES)
-        self.split = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-        #: Characters that this Python's tables don't know may be letters to the library.
-        self.unknown = re.compile(f"[{_class('Cn', 'Cs')[0]}]").search
-        self.kinds = re.compile(f"(?P<L>[{letters}])|(?P<N>[{digits}])|(?P<S>[{space}])")
-        self.pieces = _Pieces(self.single)
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as int32 bytes."""
-        if not text.isascii() and self.unknown(text):
-            return np.array(self.whole.encode_ordinary(text), dtype=np.int32).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
-
-    def kind(self, char: str) -> str:
-        if ord(char) > 127 and unicodedata.category(char) in ("Cn", "Cs"):
-            return "?"
-        found = self.kinds.match(char)
-        return found.lastgroup if found else "O"
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.token_bytes = self.whole.decode_bytes
+
+    @staticmethod
+    def kind(char: str) -> str:
+        """Letter, number, space or other; ? where tables of other versions may differ."""
+        if char in _SPACES:
+            return "S"
+        first = unicodedata.category(char)
+        return first[0] if first[0] in "LN" else "?" if first in ("Cn", "Cs") else "O"
 
     def restarts(self, text: str, at: int) -> bool:
         """Whether the split pattern surely has an edge at ``at``."""
@@ -107,17 +74,18 @@ class Encoder:
         """Cut a text into pieces of at most ``most`` characters, halving it again and
         again, each cut moved to a sure edge near the middle if there is one.
 
-        Returns (piece, whether its start is a sure edge).
+        Returns (piece, whether its start is a sure edge). A part without any place to
+        cut, such as one long row of blanks or apostrophes, stays whole.
         """
         out: list[tuple[str, bool]] = []
         todo = [(0, len(text), True)]
         while todo:
             low, high, sure = todo.pop()
-            if high - low <= most:
+            if high - low <= max(most, 1):
                 out.append((text[low:high], sure))
                 continue
             middle, reach = (low + high) // 2, (high - low) // 4
-            at = next((x for d in range(reach) for x in (middle + d, middle - d) if self.restarts(text, x)), None)
+            at = next((x for d in range(reach) for x in (middle + d, middle - d) if low < x < high and self.restarts(text, x)), None)
             cut, good = (at, True) if at is not None else (self._inside(text, low, high, middle), False)
             if cut is None:
                 out.append((text[low:high], sure))
@@ -126,68 +94,65 @@ class Encoder:
         return out
 
     def _inside(self, text: str, low: int, high: int, middle: int) -> int | None:
-        """A cut within a run of one kind, L, N or O (with no apostrophe near), else None."""
+        """A cut within a run of one kind, L, N or O, away from apostrophes and from
+        characters of unknown kind, else None."""
         for x in range(middle, high - 1):
             kind = self.kind(text[x])
-            if kind in "LNO" and self.kind(text[x - 1]) == kind and "'" not in text[max(low, x - 4) : x + 4]:
+            near = text[max(0, x - 4) : x + 4]
+            if kind in "LNO" and x > low and self.kind(text[x - 1]) == kind and "'" not in near and all(self.kind(c) != "?" for c in near):
                 return x
         return None
 
-    def tail_run(self, text: str) -> str:
-        """The piece that a text ends with, as the split pattern cuts it."""
-        kind, at = self.kind(text[-1]), len(text) - 1
-        while at and self.kind(text[at - 1]) == kind:
-            at -= 1
-        start = at - 1 if at and text[at - 1] == " " else at
-        if kind == "L":  # a contraction takes its letters away from the run behind it
-            near = text[max(0, at - 1) :]
-            if near.startswith("'"):
-                return self.split(near)[-1]
-        return text[start:]
-
-    def head_run(self, text: str) -> str:
-        kind, at = self.kind(text[0]), 1
-        while at < len(text) and self.kind(text[at]) == kind:
-            at += 1
-        return text[:at]
-
-    def join(self, left: list[int], left_text: str, right: list[int], right_text: str) -> list[int]:
-        """Ids of two texts together, the cut between them inside one run."""
-        tail, head = self.tail_run(left_text).encode(), self.head_run(right_text).encode()
+    def part(self, text: str, sure: bool) -> Part:
+        """A piece encoded, with the lengths of its outer runs."""
+        if not text:
+            return [], sure, 0, 0
+        runs = _splitter()(text)
+        return self.encode(text), sure, len(runs[0].encode()), len(runs[-1].encode())
+
+    def join(self, left: Part, right: Part) -> Part:
+        """Two neighbouring pieces as one."""
+        (li, sure, lh, lt), (ri, edge, rh, rt) = left, right
+        if edge:
+            return li + ri, sure, lh, rt
+        lsize, rsize = sum(map(self.sizes.__getitem__, li)), sum(map(self.sizes.__getitem__, ri))
         reach = 4
         while True:
-            i, a = self._back(left, len(tail), reach)
-            j, b = self._forth(right, len(head), reach)
-            window = list(self.single((tail[len(tail) - a :]) + head[:b]))
-            left_ok = a == len(tail) or window[0] == left[i]
-            right_ok = b == len(head) or window[-1] == right[j - 1]
-            if left_ok and right_ok:
-                return left[:i] + window + right[j:]
+            i, a = self._back(li, lt, reach)
+            j, b = self._forth(ri, rh, reach)
+            assert a <= lt and b <= rh, "tokens cross the edge of a run"
+            window = list(self.single(self.token_bytes(li[i:]) + self.token_bytes(ri[:j])))
+            if (a == lt or window[0] == li[i]) and (b == rh or window[-1] == ri[j - 1]):
+                ids = li[:i] + window + ri[j:]
+                return ids, sure, lh if lh < lsize else lsize + rh, rt if rt < rsize else rsize + lt
             reach *= 2
 
     def _back(self, ids: list[int], size: int, reach: int) -> tuple[int, int]:
         i, taken = len(ids), 0
         while i and taken < size and reach:
             i, reach = i - 1, reach - 1
-            taken += len(self.token_bytes[ids[i]])
+            taken += self.sizes[ids[i]]
         return i, taken
 
     def _forth(self, ids: list[int], size: int, reach: int) -> tuple[int, int]:
         j, taken = 0, 0
         while j < len(ids) and taken < size and reach:
-            taken += len(self.token_bytes[ids[j]])
+            taken += self.sizes[ids[j]]
             j, reach = j + 1, reach - 1
         return j, taken
 
-    def together(self, parts: list[tuple[str, bool, list[int]]]) -> list[int]:
+    def together(self, parts: list[Part]) -> list[int]:
         """Ids of all parts joined, as a tree: neighbours first, then pairs of pairs."""
         while len(parts) > 1:
-            joined = []
-            for k in range(0, len(parts) - 1, 2):
-                (lt, sure, li), (rt, edge, ri) = parts[k], parts[k + 1]
-                joined.append((lt + rt, sure, li + ri if edge else self.join(li, lt, ri, rt)))
-            parts = joined + (parts[-1:] if len(parts) % 2 else [])
-        return parts[0][2] if parts else []
+            parts = [self.join(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return parts[0][0] if parts else []
+
+
+@lru_cache(maxsize=1)
+def _splitter():
+    import regex
+
+    return regex.compile(_PATTERN).findall
 
 
 @lru_cache(maxsize=4)
@@ -203,56 +168,69 @@ def default_ranks() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def _lists(encoded: list[bytes]) -> pa.Array:
-    sizes = np.fromiter((len(x) // 4 for x in encoded), dtype=np.int64, count=len(encoded))
+def _lists(encoded: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype=np.int32)))
+    np.cumsum([len(x) for x in encoded], out=offsets[1:])
+    flat = np.empty(offsets[-1], dtype=np.int32)
+    for ids, at in zip(encoded, offsets, strict=False):
+        flat[at : at + len(ids)] = ids
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _encode_batches(ranks_path: str):
+def _whole_batches(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            others = [i for i in range(batch.num_columns) if i != at]
-            names = [batch.schema.names[i] for i in others] + ["ids"]
-            texts, start, held, size = batch.column(at), 0, [], 0
-            for k in range(batch.num_rows):
-                text = texts[k].as_py()
-                held.append(enc.encode(text) if text else b"")
+            start, held, size = 0, [], 0
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                held.append(enc.encode(text) if text else [])
                 size += len(held[-1])
-                if size >= 4 * _FLUSH_IDS or k == batch.num_rows - 1:
-                    part = batch.slice(start, len(held))
-                    yield pa.RecordBatch.from_arrays([part.column(i) for i in others] + [_lists(held)], names=names)
+                if size >= _FLUSH_IDS or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("_key").slice(start, len(held)), _lists(held)], names=["_key", "ids"])
                     start, held, size = k + 1, [], 0
 
     return run
 
 
 def _cut_batches(ranks_path: str, most: int):
+    """Pieces of texts. ``_id`` names a row by its content and, among equal rows of a
+    partition, by its number: it is the same when the task runs again in another order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path)
+        enc, times, place = encoder(ranks_path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                key = batch.column("_key").slice(k, 1)
+                name = blake2b(repr(key.to_pylist()).encode() + b"\0" + text.encode(), digest_size=16).hexdigest()
+                times[name] += 1
                 cut = enc.halves(text, most)
-                yield pa.RecordBatch.from_pydict(
-                    {"_row": pa.array([row] * len(cut), pa.int64()), "_pos": pa.array(range(len(cut)), pa.int32()), "_sure": pa.array([s for _, s in cut], pa.bool_()), "text": pa.array([t for t, _ in cut], pa.string())}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{name}-{place}-{times[name]}"] * len(cut)), key.take(pa.array([0] * len(cut))), pa.array(range(len(cut)), pa.int32()), pa.array([s for _, s in cut], pa.bool_()), pa.array([t for t, _ in cut], pa.string())],
+                    names=["_id", "_key", "_pos", "_sure", "text"],
                 )
 
     return run
 
 
+def _piece_batches(ranks_path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks_path)
+        for batch in batches:
+            parts = [enc.part(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_sure").to_pylist(), strict=True)]
+            outer = [batch.column(n) for n in ("_id", "_key", "_pos", "_sure")]
+            yield pa.RecordBatch.from_arrays([*outer, _lists([p[0] for p in parts]), pa.array([p[2] for p in parts], pa.int32()), pa.array([p[3] for p in parts], pa.int32())], names=["_id", "_key", "_pos", "_sure", "ids", "_head", "_tail"])
+
+    return run
+
+
 def _join_batches(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for batch in batches:
-            rows, ids = [], []
-            for row, parts in zip(batch.column("_row").to_pylist(), batch.column("_parts").to_pylist(), strict=True):
-                parts.sort(key=lambda p: p["_pos"])
-                rows.append(row)
-                ids.append(np.array(enc.together([(p["text"], p["_sure"], p["ids"]) for p in parts]), dtype=np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _lists(ids)], names=["_row", "ids"])
+            for k, parts in enumerate(batch.column("_parts")):
+                pieces = sorted(parts.as_py(), key=lambda p: p["_pos"])
+                ids = enc.together([(p["ids"], p["_sure"], p["_head"], p["_tail"]) for p in pieces])
+                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(k, 1), _lists([ids])], names=["_key", "ids"])
 
     return run
 
@@ -261,22 +239,19 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_p
     """``key`` and ``ids`` (array of int) of every row of ``df``, without special tokens.
 
     Null and empty texts give an empty list. Every input row gives one output row, also
-    repeated rows and null keys; other columns are ignored. Texts above ``long_chars``
-    characters are cut, encoded in parallel and joined, with the same ids as a result.
+    repeated rows and null keys; other columns are ignored, whatever their names; an
+    empty table gives no rows. Texts above ``long_chars`` characters are cut, encoded in
+    parallel and joined, with the same ids as a result. ``ranks_path`` must be readable
+    at the same place on every executor.
     """
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     ranks_path = ranks_path or default_ranks()
     rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["_key"].dataType.simpleString()
     is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
-    short = rows.where(~is_long).mapInArrow(_encode_batches(ranks_path), f"_key {kind}, ids array<int>")
-    # Written out, since it is read twice: row numbers must be the same both times.
-    long_rows = materialize(rows.where(is_long).withColumn("_row", F.monotonically_increasing_id()), "long-texts")
-    pieces = long_rows.select("_row", "text").mapInArrow(_cut_batches(ranks_path, long_chars), "_row bigint, _pos int, _sure boolean, text string")
-    spread = pieces.repartition("_row", "_pos").withColumn("_text", F.col("text"))
-    coded = spread.mapInArrow(_encode_batches(ranks_path), "_row bigint, _pos int, _sure boolean, _text string, ids array<int>")
-    parts = coded.groupBy("_row").agg(F.collect_list(F.struct("_pos", "_sure", F.col("_text").alias("text"), "ids")).alias("_parts"))
-    joined = parts.mapInArrow(_join_batches(ranks_path), "_row bigint, ids array<int>")
-    long = long_rows.select("_row", "_key").join(joined, "_row").select("_key", "ids")
-    return short.unionByName(long).select(F.col("_key").alias(key), "ids")
+    short = rows.where(~is_long).mapInArrow(_whole_batches(ranks_path), f"_key {kind}, ids array<int>")
+    pieces = rows.where(is_long).mapInArrow(_cut_batches(ranks_path, long_chars), f"_id string, _key {kind}, _pos int, _sure boolean, text string")
+    coded = pieces.repartition("_id", "_pos").mapInArrow(_piece_batches(ranks_path), f"_id string, _key {kind}, _pos int, _sure boolean, ids array<int>, _head int, _tail int")
+    parts = coded.groupBy("_id").agg(F.first("_key").alias("_key"), F.collect_list(F.struct("_pos", "_sure", "ids", "_head", "_tail")).alias("_parts"))
+    joined = parts.select("_key", "_parts").mapInArrow(_join_batches(ranks_path), f"_key {kind}, ids array<int>")
+    return short.unionByName(joined).select(F.col("_key").alias(key), "ids")
