@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logloom.functions.instants import text_instants
 from logloom.operators.entries import line_entries
+from logloom.plans.core import QUERIES as CORE
+from logloom.plans.sql import SQL
 from logloom.runtime import table
 from logloom.sources.records import failing_records
 
@@ -29,5 +31,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_instants(table(spark, sf_dir, "json_entries"), table(spark, sf_dir, "timeline_items"), table(spark, sf_dir, "zone_names"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, **CORE}
+__all__ = ["QUERIES", "SQL"]
