@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 import __spark_entry__ as driver
-from logloom.llm.looks import looks
+from logloom.llm.looks import Classes, Rewriter, looks, rewrites
 from logloom.llm.lookalikes import look_alikes
 
 
@@ -29,3 +31,31 @@ def test_p8_gives_pairs_once(spark):
     assert got.dtypes == [("doc_id_a", "bigint"), ("doc_id_b", "bigint")]
     rows = [tuple(r) for r in got.collect()]
     assert rows and len(rows) == len(set(rows)) and all(a < b for a, b in rows)
+
+
+def test_classes_are_transitive():
+    found = Classes([("a", "b"), ("c", "d"), ("b", "d"), ("x", "yz")]).members()
+    assert sorted(map(sorted, found)) == [["a", "b", "c", "d"], ["x", "yz"]]
+
+
+def test_frequent_members_stand_for_their_class():
+    changes = rewrites({ord("\u0430"): 5, ord("a"): 2})
+    assert changes["a"] == "\u0430" and "\u0430" not in changes and changes["\uff41"] == "\u0430"
+    # strings are spelt out by the representatives of their characters
+    assert rewrites({ord("\u0456"): 9})["\ufb01"] == "f\u0456"
+
+
+def test_any_counts_give_the_same_classes():
+    rng, letters = random.Random(8), "ab\r\n\t\uff46\ufb01\u0435e\u0301\u00e9 \u00a0\u200b\uff9e\uff76\u30abi\u0456f"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    other = Rewriter(rewrites({ord(c): rng.randint(0, 99) for c in letters}))
+    pairs = {(looks(t), other(t)) for t in texts}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_nulls_repeats_clashing_names_and_nothing(spark):
+    long = "long text " * 20000
+    rows = [(None, "a b", 1), (1, "a\u00a0b", 2), (1, "a\u00a0b", 2), (2, "a b", None), (3, long, 3), (4, long.replace("o", "\u043e"), 4), (5, None, 5), (6, "", 6), (7, "\u200b", 7), (8, "\u200b\u200b", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, form int").withColumnRenamed("x", "stored")
+    assert sorted(map(tuple, look_alikes(df).collect())) == [(1, 2), (3, 4), (7, 8)]
+    assert look_alikes(df.where("false")).count() == 0
