@@ -1,16 +1,20 @@
 """Most frequent values of a column with bounded memory.
 
-Values are collapsed to (value, count) on the map side, hash-partitioned by value, and
-each partition runs a count-min sketch with conservative update, handing on the values
-whose estimate reaches the threshold, so many at a time. A sketch never under-estimates,
-so these are a superset of the answer and one exact count of them finishes the job: by a
-broadcast while they are few, by a shuffle if they are not.
+Values are collapsed to (value, count) on the map side and hash-partitioned by value, so
+each value is counted in one partition only. A partition runs a count-min sketch with
+conservative update and keeps, in a bounded heap, the values whose estimate reaches the
+wanted share of the rows it has seen so far: a value that is frequent in all rows is so in
+its partition too, at its last occurrence at the latest, and a sketch never under-estimates.
+The heaps of all partitions are disjoint; merged, they hold every frequent value, and one
+exact count of the few candidates finishes the job.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from heapq import heapify, heappop, heappush
 from math import ceil, e, log2
 
 import numpy as np
@@ -24,7 +28,7 @@ from logloom.runtime import materialize, ship
 SKETCH_WIDTH, MAX_WIDTH = 1 << 16, 1 << 20
 SKETCH_DEPTH = 4
 CAPACITY = 1 << 14
-_FLUSH_ROWS = 1 << 18
+_FLUSH_ROWS, _FLUSH_BYTES = 1 << 18, 1 << 26
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -52,18 +56,20 @@ class CountMinSketch:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal values of up to so many rows or bytes as one row."""
+
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).group_by(["value", "hash"]).aggregate([("n", "sum")])
-        yield from table.select(["value", "hash", "n_sum"]).rename_columns(["value", "hash", "n"]).to_batches()
+        table = pa.Table.from_batches(held).group_by(["kind", "value", "hash"]).aggregate([("n", "sum")])
+        yield from table.select(["kind", "value", "hash", "n_sum"]).rename_columns(["kind", "value", "hash", "n"]).to_batches()
 
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= _FLUSH_ROWS:
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= _FLUSH_ROWS or size >= _FLUSH_BYTES:
             yield from flush(held)
-            held, rows = [], 0
+            held, rows, size = [], 0, 0
     if rows:
         yield from flush(held)
 
@@ -75,28 +81,83 @@ def sketch_width(share: float, parts: int) -> int:
     return min(MAX_WIDTH, max(SKETCH_WIDTH, 1 << ceil(log2(wanted))))
 
 
-def _sketcher(keep: int, width: int, depth: int, capacity: int):
+class Heap:
+    """At most ``capacity`` values, the smallest estimate on top. What is pushed out while it
+    still reaches the threshold is handed on, so nothing frequent is ever lost."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.best: dict[str, int] = {}
+        self.order: list[tuple[int, str]] = []
+
+    def offer(self, value: str, estimate: int, least: int) -> tuple[str, int] | None:
+        """Take a value in. Returns one that had to leave though it reaches ``least``."""
+        self.best[value] = estimate
+        heappush(self.order, (estimate, value))
+        if len(self.order) > 2 * self.capacity + 16:  # too many outdated entries
+            self.order = [(n, v) for v, n in self.best.items()]
+            heapify(self.order)
+        out = None
+        while len(self.best) > self.capacity:
+            n, low = heappop(self.order)
+            if self.best.get(low) == n:
+                del self.best[low]
+                out = (low, n) if n >= least else None
+        return out
+
+
+def _sketcher(share: Fraction, width: int, depth: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"value": pa.array(list(best), pa.string()), "estimate": pa.array(list(best.values()), pa.int64())})
+        def rows(kind: str, found: list[tuple[str | None, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(found), pa.string()), "value": pa.array([v for v, _ in found], pa.string()), "estimate": pa.array([n for _, n in found], pa.int64())})
 
-        sketch, best = CountMinSketch(width, depth), {}
+        sketches: dict[str, tuple[CountMinSketch, Heap]] = {}
+        seen: Counter[str] = Counter()
         for batch in _collapse(batches):
-            hashes = batch.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            counts = batch.column("n").to_numpy(zero_copy_only=False)
-            estimates = sketch.add(hashes, counts)
-            heavy = np.nonzero(estimates >= keep)[0]
-            for value, estimate in zip(batch.column("value").take(pa.array(heavy)).to_pylist(), estimates[heavy].tolist(), strict=True):
-                best[value] = estimate
-                if len(best) >= capacity:
-                    yield flush()
-                    best.clear()
-        if best:
-            yield flush()
+            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
+            for kind in sorted(set(kinds)):
+                at = np.nonzero(kinds == kind)[0]
+                part = batch.take(pa.array(at))
+                sketch, heap = sketches.setdefault(kind, (CountMinSketch(width, depth), Heap(capacity)))
+                hashes = part.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                counts = part.column("n").to_numpy(zero_copy_only=False)
+                seen[kind] += int(counts.sum())
+                least = max(1, ceil(share * seen[kind]))
+                estimates = sketch.add(hashes, counts)
+                heavy = np.nonzero(estimates >= least)[0]
+                pushed = [heap.offer(v, n, least) for v, n in zip(part.column("value").take(pa.array(heavy)).to_pylist(), estimates[heavy].tolist(), strict=True)]
+                if out := [x for x in pushed if x]:
+                    yield rows(kind, out)
+        for kind, (_, heap) in sketches.items():
+            least = ceil(share * seen[kind])
+            # The row without a value tells how many rows the partition has seen.
+            yield rows(kind, [(None, seen[kind]), *((v, n) for v, n in heap.best.items() if n >= least)])
 
     return run
 
 
+def _frequent(values: DataFrame, share: float, width: int | None, depth: int, capacity: int) -> DataFrame:
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    spark, exact = values.sparkSession, Fraction(str(share))
+    ship(spark)
+    ready = values.select("kind", "value", F.xxhash64("kind", "value").alias("hash"), F.lit(1).cast("bigint").alias("n"))
+    small = ready.mapInArrow(_collapse, "kind string, value string, hash bigint, n bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heaps = small.repartition(parts, "hash").mapInArrow(_sketcher(exact, width or sketch_width(share, parts), depth, capacity), "kind string, value string, estimate bigint")
+    heaps = materialize(heaps, "candidates")
+    # One row for each kind comes to the driver: how many rows it has.
+    totals = heaps.where(F.col("value").isNull()).groupBy("kind").agg(F.sum("estimate").alias("total")).collect()
+    keep = F.lit(None).cast("bigint")
+    for row in totals:
+        keep = F.when(F.col("kind") == row.kind, ceil(exact * row.total)).otherwise(keep)
+    # A value that was handed on several times had its last and largest estimate last.
+    heavy = heaps.where(F.col("value").isNotNull()).groupBy("kind", "value").agg(F.max("estimate").alias("estimate")).where(F.col("estimate") >= keep)
+    heavy = F.broadcast(heavy) if heavy.limit(capacity + 1).count() <= capacity else heavy.hint("merge")
+    counted = values.join(heavy, ["kind", "value"]).groupBy("kind", "value", "estimate").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") >= keep)
+
+
 def frequent_values(df: DataFrame, column: str, share: float = 0.005, width: int | None = None, depth: int = SKETCH_DEPTH, capacity: int = CAPACITY) -> DataFrame:
     """Values of ``column`` held by at least ``share`` of its non-null rows.
 
@@ -106,28 +167,14 @@ def frequent_values(df: DataFrame, column: str, share: float = 0.005, width: int
     values are handled whole. ``share`` must be in (0, 1]. A task holds at most
     ``capacity`` candidates at once, and no more than that are broadcast.
     """
-    if not 0 < share <= 1:
-        raise ValueError("share must be above 0 and at most 1")
-    spark = df.sparkSession
-    ship(spark)
-    values = df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
-    keep = max(1, ceil(Fraction(str(share)) * values.count()))
-    ready = values.select("value", F.xxhash64("value").alias("hash"), F.lit(1).cast("bigint").alias("n"))
-    small = ready.mapInArrow(_collapse, "value string, hash bigint, n bigint")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = width or sketch_width(share, parts)
-    heavy = small.repartition(parts, "hash").mapInArrow(_sketcher(keep, width, depth, capacity), "value string, estimate bigint")
-    # A value that was handed on several times had its last and largest estimate last.
-    heavy = materialize(heavy.groupBy("value").agg(F.max("estimate").alias("estimate")), "candidates")
-    heavy = F.broadcast(heavy) if heavy.count() <= capacity else heavy.hint("merge")
-    counted = values.join(heavy, "value").groupBy("value", "estimate").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= keep)
+    values = df.select(F.lit("").alias("kind"), F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
+    return _frequent(values, share, width, depth, capacity).drop("kind")
 
 
 def frequent_messages(entries: DataFrame, share: float = 0.005) -> DataFrame:
-    """``kind``, ``value`` and ``n`` of the messages and of the templates held by at
-    least ``share`` of the rows whose message is neither null nor blank."""
+    """``kind``, ``value`` and ``n`` of the messages and of the templates held
+    by at least ``share`` of the rows whose message is neither null nor blank. Both kinds go
+    through one pass of the sketch and one of the exact count."""
     base = entries.select("message").where(~is_blank(F.col("message")))
-    template = base.select(message_template(F.col("message")).alias("template"))
-    found = [frequent_values(rows, kind, share).select(F.lit(kind).alias("kind"), "value", "n") for kind, rows in (("message", base), ("template", template))]
-    return found[0].unionByName(found[1])
+    both = F.array(F.struct(F.lit("message").alias("kind"), F.col("message").alias("value")), F.struct(F.lit("template").alias("kind"), message_template(F.col("message")).alias("value")))
+    return _frequent(base.select(F.inline(both)), share, None, SKETCH_DEPTH, CAPACITY).drop("estimate")
