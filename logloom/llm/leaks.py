@@ -1,17 +1,18 @@
 """Documents that hold passages of held-out questions.
 
-A Wu-Manber search over words: the patterns are all passages of ``MIN_WORDS`` words of
-the questions. The last two words under the window decide how far it may move: as far
-as the nearest place of these two in any pattern, over all but one of its words where
-they stand in none. Only where they end a pattern is the whole window looked up.
+A Wu-Manber search over words: the patterns are all passages of ``MIN_WORDS`` words of the
+questions, a block is two words. The block under the end of the window decides how far it
+may move: as far as the nearest place of this block in any pattern, over all but one of its
+words where it stands in none. Only where it ends a pattern are those of its bucket with the
+same first word compared, word by word.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from logloom.llm.looks import looks
 from logloom.runtime import ship
 
 MIN_WORDS = 12
+MOST_CHARS = 1 << 24
 _ASCII_WORD = re.compile("[a-z0-9]+").findall
 #: Letters, decimal digits and the accents on them; no superscripts, subscripts or fractions.
 _WORD = re.compile(r"(?:[^\W_\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209f\u2150-\u215f\u2460-\u249b\u24ea-\u24ff\u2776-\u2793]|[\u0300-\u036f\u3099\u309a])+").findall
@@ -39,20 +41,22 @@ def words(text: str) -> list[str]:
 
 
 class Passages:
-    """The search, over items as (id, text)."""
+    """The search, over items as (id, text). Passages of fewer words than ``size`` are none."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = MIN_WORDS) -> None:
+    def __init__(self, items: Iterable[tuple[int, str]], size: int = MIN_WORDS) -> None:
         self.size = size
         self.shift: dict[tuple[str, str], int] = {}
-        self.found: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        #: last block of a pattern -> its first word -> patterns with their items
+        self.buckets: dict[tuple[str, str], dict[str, dict[tuple[str, ...], set[int]]]] = {}
         for item, text in items:
             own = words(text)
             for i in range(len(own) - size + 1):
                 window = tuple(own[i : i + size])
-                self.found[window].add(item)
+                bucket = self.buckets.setdefault(window[-2:], {}).setdefault(window[0], {})
+                bucket.setdefault(window, set()).add(item)
                 for k in range(1, size):
-                    pair, far = window[k - 1 : k + 1], size - 1 - k
-                    self.shift[pair] = min(far, self.shift.get(pair, far))
+                    block, far = window[k - 1 : k + 1], size - 1 - k
+                    self.shift[block] = min(far, self.shift.get(block, far))
 
     def search(self, text: str) -> set[int]:
         """Items of which the text holds a passage."""
@@ -60,17 +64,20 @@ class Passages:
         own, size, far = words(text), self.size, self.size - 1
         shift, end, count = self.shift.get, far, len(own)
         while end < count:
-            step = shift((own[end - 1], own[end]), far)
+            block = own[end - 1], own[end]
+            step = shift(block, far)
             if not step:
-                held |= self.found.get(tuple(own[end - size + 1 : end + 1]), set())
-                step = 1
+                begin, step = end - size + 1, 1
+                patterns = self.buckets.get(block, {}).get(own[begin])
+                if patterns:
+                    held |= patterns.get(tuple(own[begin : end + 1]), set())
             end += step
         return held
 
 
-def _searcher(items: list[tuple[int, str]]) -> Callable:
+def _searcher(items: list[tuple[int, str]], size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(items)
+        passages = Passages(items, size)
         for batch in batches:
             pairs = [(d, i) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for i in sorted(passages.search(t))]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in pairs], pa.int64()), "item_id": pa.array([i for _, i in pairs], pa.int64())})
@@ -78,12 +85,30 @@ def _searcher(items: list[tuple[int, str]]) -> Callable:
     return run
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """``doc_id`` and ``item_id`` where a document holds a passage of an item's text.
+def _blocks(items: DataFrame, most_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in lists of at most so many characters (one item at least)."""
+    held, size = [], 0
+    for row in items.toLocalIterator():
+        if held and size + len(row.text) > most_chars:
+            yield held
+            held, size = [], 0
+        held.append((row.item_id, row.text))
+        size += len(row.text)
+    if held:
+        yield held
 
-    ``eval_items`` is a small table of fixed size and is gathered.
+
+def leaks(documents: DataFrame, eval_items: DataFrame, min_words: int = MIN_WORDS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``doc_id`` and ``item_id`` where a document holds at least ``min_words`` consecutive
+    words of an item's text; each pair once.
+
+    Null and empty texts and null ids have no part in it; items of fewer words than that
+    are found nowhere; repeated rows count once; other columns are ignored; an empty table
+    on either side gives no rows. The patterns of at most ``most_chars`` characters of items
+    are sent to all tasks at once, more of them in blocks, each against all documents.
     """
     ship(documents.sparkSession)
-    items = [(r.item_id, r.text) for r in eval_items.select("item_id", "text").collect() if r.text]
-    rows = documents.select("doc_id", "text").where(F.length("text") > 0)
-    return rows.mapInArrow(_searcher(items), "doc_id bigint, item_id bigint")
+    items = eval_items.select(F.col("item_id").cast("bigint"), "text").where((F.length("text") > 0) & F.col("item_id").isNotNull())
+    rows = documents.select(F.col("doc_id").cast("bigint"), "text").where((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    found = [rows.mapInArrow(_searcher(block, min_words), "doc_id bigint, item_id bigint") for block in _blocks(items, most_chars)]
+    return reduce(DataFrame.unionByName, found).distinct() if found else documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")

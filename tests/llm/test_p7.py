@@ -31,3 +31,18 @@ def test_p7_agrees_with_trying_every_pair(spark, small):
     assert got.dtypes == [("doc_id", "bigint"), ("item_id", "bigint")]
     rows = [tuple(r) for r in got.collect()]
     assert want and len(rows) == len(want) and set(rows) == want
+
+
+def test_nulls_repeats_clashing_names_blocks_and_nothing(spark):
+    from logloom.llm.leaks import leaks
+
+    other = ITEM.replace("two", "zwei")
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, other), (None, ITEM), (3, None), (4, ""), (5, "too short")], "item_id bigint, text string")
+    long = "filler words " * 100_000
+    docs = [(1, long + ITEM + long, 7), (1, long + ITEM + long, 7), (None, ITEM, 7), (2, None, 7), (3, "", None), (4, ITEM + " and " + other, 7), (5, "nothing of it", 7)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, item_id bigint")
+    want = [(1, 1), (1, 2), (4, 1), (4, 2)]
+    for most in (1, 1 << 24):
+        assert sorted(map(tuple, leaks(documents, items, most_chars=most).collect())) == want
+    assert leaks(documents.where("false"), items).count() == 0
+    assert leaks(documents, items.where("false")).count() == 0
