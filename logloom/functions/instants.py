@@ -1,24 +1,19 @@
 """Instants of time texts of many shapes, in microseconds of UTC.
 
-A local time is placed by the offset history of its zone: one that occurs twice means
-the earlier instant, a skipped one is read with the offset in force before the change.
+A text is read first: into an instant if it names its zone or is an epoch number, else into
+a local time. A local time is placed by the offset history of its zone: one that occurs
+twice means the earlier instant, a skipped one is read with the offset in force before the
+change.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from datetime import UTC, datetime, timedelta, timezone
+from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from logloom.runtime import ship
-
 _MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 _MON, _DAY = r"(?P<mon>[A-Za-z]{3})", r"(?:mon|tue|wed|thu|fri|sat|sun)"
 _CLOCK = r"(?P<H>[0-9]{2}):(?P<M>[0-9]{2}):(?P<S>[0-9]{2})(?:[.,](?P<f>[0-9]+))?"
@@ -64,15 +59,14 @@ def _offset(zone: str, words: dict[str, int]) -> timedelta | None:
     return timedelta(hours=hours, minutes=minutes) * (-1 if zone[sign] == "-" else 1)
 
 
-def instant(text: str | None, zone: str | None, words: dict[str, int]) -> int | None:
-    """Microseconds since 1970 UTC of a time text, or None if it is no real time.
-
-    ``zone`` is the zone where the text names none; ``words`` are minutes by zone word.
-    """
+def read_time(text: str | None, words: dict[str, int]) -> tuple[int, bool] | None:
+    """Microseconds of a time text, and whether they are an instant (else a local time as if
+    it were UTC). None if the text is no real time. ``words`` are minutes by zone word."""
     text = (text or "").strip()
     found = next((m for shape in _SHAPES if (m := shape.fullmatch(text))), None)
     if not found:
-        return _epoch(text) if _NUMBER.fullmatch(text) else None
+        at = _epoch(text) if _NUMBER.fullmatch(text) else None
+        return None if at is None else (at, True)
     part = {"H": None, "M": None, "S": None, "f": None, "z": None, "half": None, "m": None, "mon": None} | found.groupdict()
     month = int(part["m"]) if part["m"] else _MONTHS.get(part["mon"].lower(), 0)
     hour = int(part["H"] or 0)
@@ -81,38 +75,39 @@ def instant(text: str | None, zone: str | None, words: dict[str, int]) -> int |
             return None
         hour = hour % 12 + 12 * (part["half"] in "Pp")
     try:
-        local = datetime(int(part["y"]), month, int(part["d"]), hour, int(part["M"] or 0), int(part["S"] or 0), int((part["f"] or "")[:6].ljust(6, "0")))
-        if local.year == 1:
-            return None
-        if part["z"]:
-            offset = _offset(part["z"], words)
-            if offset is None:
-                return None
-            at = local.replace(tzinfo=timezone(offset))
-        else:
-            at = local.replace(tzinfo=_zone(zone) if zone else UTC)
-        return (at - _EPOCH) // timedelta(microseconds=1)
-    except (ValueError, OverflowError):
+        local = datetime(int(part["y"]), month, int(part["d"]), hour, int(part["M"] or 0), int(part["S"] or 0), int((part["f"] or "")[:6].ljust(6, "0")), tzinfo=UTC)
+    except ValueError:
         return None
+    offset = _offset(part["z"], words) if part["z"] else timedelta(0)
+    if local.year == 1 or offset is None:
+        return None
+    return (local - _EPOCH - offset) // timedelta(microseconds=1), bool(part["z"])
 
 
-def _instants(words: dict[str, int]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us = [instant(t, z, words) for t, z in zip(batch.column("text").to_pylist(), batch.column("zone").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("rec_id"), pa.array(us, pa.int64())], names=["src", "rec_id", "utc_us"])
+def known_zone(zone: str | None) -> bool:
+    """Whether a name is a zone with an offset history."""
+    try:
+        return bool(zone) and _zone(zone) is not None
+    except (ValueError, OSError, KeyError):  # unknown names are KeyErrors
+        return False
 
-    return run
 
+def placed(local_us: int, zone: str | None, fold: int = 0) -> int | None:
+    """Instant of a local time in a zone, UTC for none; None beyond the calendar. ``fold`` 1
+    takes the other offset where a clock change leaves two to choose from."""
+    if not zone or zone == "UTC":
+        return local_us
+    try:
+        local = (_EPOCH + timedelta(microseconds=local_us)).replace(tzinfo=_zone(zone), fold=fold)
+        return (local - _EPOCH) // timedelta(microseconds=1)
+    except (ValueError, OverflowError):
+        return None
 
-def text_instants(json_entries: DataFrame, timeline_items: DataFrame, zone_names: DataFrame) -> DataFrame:
-    """``src``, ``rec_id`` and ``utc_us`` of every record whose text is a real time.
 
-    ``zone_names`` is a small fixed table and is gathered.
-    """
-    ship(json_entries.sparkSession)
-    words = {r.abbrev.upper(): r.offset_min for r in zone_names.select("abbrev", "offset_min").collect()}
-    rows = json_entries.select(F.lit("json").alias("src"), "rec_id", F.col("time").alias("text"), "zone")
-    rows = rows.unionByName(timeline_items.select(F.lit("timeline").alias("src"), "rec_id", F.col("stamp").alias("text"), "zone"))
-    found = rows.mapInArrow(_instants(words), "src string, rec_id bigint, utc_us bigint")
-    return found.where(F.col("utc_us").isNotNull()).distinct()
+def instant(text: str | None, zone: str | None, words: dict[str, int]) -> int | None:
+    """Microseconds since 1970 UTC of a time text, or None if it is no real time. ``zone`` is
+    the zone where the text names none; an unknown name is like none."""
+    read = read_time(text, words)
+    if read is None or read[1]:
+        return read and read[0]
+    return placed(read[0], zone if known_zone(zone) else None)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.functions.instants import text_instants
 from logloom.operators.entries import line_entries
+from logloom.operators.zones import text_instants
 from logloom.plans.core import QUERIES as CORE
 from logloom.plans.sql import SQL
 from logloom.runtime import table
