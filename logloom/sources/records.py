@@ -1,20 +1,24 @@
-"""Records that do not fit their declared format, with the first reason that applies.
-
-Every record is split by the grammar of its format into named text columns first; what
-cannot be split, or not into the six columns, is classified by that, the rest by value.
+"""Records of declared formats: valid ones as typed columns, the others with the reason.
+
+Rows are read permissively under an explicit schema that keeps the raw text of what does
+not fit: CSV and JSON by Spark's readers, logfmt by one possessive pattern. Those readers
+are laxer than the formats, so a row counts as read only if its raw text also fits the
+strict shape of its format and all its columns are valid. All other rows, with their raw
+text, are classified anew by quoting, column count and cast, in that order, in one Arrow
+UDF that gets null for rows already read.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.text import is_blank
 from logloom.runtime import ship
 
 COLUMNS = ("time", "level", "logger", "status", "duration_ms", "message")
@@ -68,6 +72,14 @@ def _object(line: str) -> list[tuple[str, object]]:
     return list(pairs)
 
 
+_ESCAPED = re.compile(r"\\(.)", re.S)
+_SPELT = {"n": "\n", "t": "\t", "r": "\r"}
+
+
+def _spelt(found: re.Match) -> str:
+    return _SPELT.get(found[1], found[1])
+
+
 def _logfmt(line: str) -> list[tuple[str, str | None]]:
     pairs, at = [], _GAP.match(line).end()
     while at < len(line):
@@ -77,7 +89,7 @@ def _logfmt(line: str) -> list[tuple[str, str | None]]:
             found = (_QUOTED if line[at + 1 : at + 2] == '"' else _VALUE).match(line, at + 1)
             if not found:
                 raise Unsplit
-            value, at = found[1] if found.re is _QUOTED else found[0], found.end()
+            value, at = _ESCAPED.sub(_spelt, found[1]) if found.re is _QUOTED else found[0], found.end()
         gap = _GAP.match(line, at).end()
         if gap == at < len(line):
             raise Unsplit
@@ -118,27 +130,137 @@ def _valid(row: dict, typed: bool) -> bool:
     )
 
 
-def reason(line: str | None, kind: str) -> str | None:
-    """Why a record fails: quoting, column_count or value; None if it fits."""
+def classified(line: str | None, kind: str | None) -> tuple[str | None, dict]:
+    """Why a record fails (quoting, column_count, value; None if it fits) and its columns.
+    A record of an unknown format cannot be split."""
     if line is None or not line.strip():
-        return "column_count"
+        return "column_count", {}
     try:
         pairs = _SPLIT[kind](line)
-    except Unsplit:
-        return "quoting"
+    except (Unsplit, KeyError):
+        return "quoting", {}
     if sorted(k for k, _ in pairs) != sorted(COLUMNS) or (kind == "logfmt" and any(v is None for _, v in pairs)):
-        return "column_count"
-    return None if _valid(dict(pairs), kind == "json") else "value"
+        return "column_count", {}
+    row = dict(pairs)
+    if not _valid(row, kind == "json"):
+        return "value", {}
+    return None, row
+
+
+def reason(line: str | None, kind: str | None) -> str | None:
+    """Why a record fails, or None."""
+    return classified(line, kind)[0]
+
+
+_STRUCT = "struct<reason:string," + ",".join(f"{c}:string" for c in COLUMNS) + ">"
+
+
+def _structs(lines: list[str | None], kinds: list[str | None], known: list[bool]) -> pa.Array:
+    """Classes of the rows that are not known to fit."""
+    rows = [(None, {}) if fits else classified(line, kind) for line, kind, fits in zip(lines, kinds, known, strict=True)]
+    columns = [pa.array([why for why, _ in rows], pa.string())]
+    columns += [pa.array([None if (v := row.get(c)) is None else str(v) for _, row in rows], pa.string()) for c in COLUMNS]
+    return pa.StructArray.from_arrays(columns, names=["reason", *COLUMNS])
+
+
+def _classifier():
+    @F.arrow_udf(_STRUCT)
+    def classes(lines: pa.Array, kinds: pa.Array, known: pa.Array) -> pa.Array:
+        return _structs(lines.to_pylist(), kinds.to_pylist(), known.to_pylist())
+
+    return classes
+
+
+# The strict shapes of whole records; all loops are possessive, so long records do not recurse.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+_CSV_SHAPE = rf"\A(?:{_FIELD},){{5}}{_FIELD}\z"
+_TEXT = r'"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1F]*+)*+"'
+_B = r"[ \t\n\r]*+"
+_MEMBER = rf'(?:"(?:time|level|logger|message)"{_B}:{_B}{_TEXT}|"(?:status|duration_ms)"{_B}:{_B}(?:null|(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+))'
+_JSON_SHAPE = rf"\A{_B}\{{{_B}{_MEMBER}(?:{_B},{_B}{_MEMBER}){{5}}{_B}\}}{_B}\z"
+_PAIR = rf'({"|".join(COLUMNS)})=("[^"\\]*+(?:\\.[^"\\]*+)*+"|[^ \t\n\r\f"]*+)'
+_LOGFMT_SHAPE = rf"(?s)\A *+{_PAIR}(?: ++{_PAIR}){{5}} *+\z"
+_SCHEMA = ", ".join(f"{c} string" for c in COLUMNS) + ", _corrupt string"
+
+
+def _column_checks(c: dict[str, Column]) -> Column:
+    """Whether six text columns are all valid; empty and null stand for no number."""
+    time = c["time"]
+    shape = time.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?(?:Z|[+-](?:(?:0[0-9]|1[0-7]):[0-5][0-9]|18:00))\z")
+    real = F.substring(time, 1, 10).try_cast("date").isNotNull() & (F.substring(time, 1, 4) != "0000")
+    empty = lambda x: F.coalesce(x, F.lit("")) == ""
+    good = (
+        shape
+        & real
+        & F.upper(c["level"]).isin(*sorted(_LEVELS))
+        & ~is_blank(c["logger"])
+        & (empty(c["status"]) | c["status"].rlike(r"\A0*[1-5][0-9]{2}\z"))
+        & (empty(c["duration_ms"]) | c["duration_ms"].rlike(r"\A[0-9]+(?:\.[0-9]+)?\z"))
+        & c["message"].isNotNull()
+    )
+    return F.coalesce(good, F.lit(False))
 
 
-def _reasons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        why = [reason(x, f) for x, f in zip(batch.column("raw_line").to_pylist(), batch.column("format").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(why, pa.string())], names=["record_id", "reason"])
+def classify_records(raw_records: DataFrame, raw: str = "raw_line", kind: str = "format") -> DataFrame:
+    """``raw_records`` with ``reason`` (null if a record fits) and the six columns typed:
+    ``time`` TIMESTAMP, ``level``, ``logger``, ``status`` INT, ``duration_ms`` DOUBLE,
+    ``message``, all null where it fails.
+
+    Null and blank records fail by column_count, records of a null or unknown format by
+    quoting. Given columns with the names of new ones are replaced; an empty table gives no
+    rows. Records of any length are read whole.
+    """
+    ship(raw_records.sparkSession)
+    new = {"reason", *COLUMNS}
+    given = raw_records.select([c for c in raw_records.columns if c not in new or c in (raw, kind)])
+    text, form = F.col(raw), F.col(kind)
+    by_kind = lambda name, made: F.when(form == name, made)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    csv_options = options | {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\0", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
+    read = given.withColumns(
+        {
+            "_csv": F.from_csv(by_kind("csv", F.when(text.rlike(_CSV_SHAPE), text)), _SCHEMA, csv_options),
+            "_json": F.from_json(by_kind("json", F.when(text.rlike(_JSON_SHAPE), text)), _SCHEMA, options),
+            "_pairs": by_kind("logfmt", F.when(text.rlike(_LOGFMT_SHAPE), F.regexp_extract_all(text, F.lit(f"(?s){_PAIR}"), F.lit(0)))),
+        }
+    )
+    distinct = F.size(F.array_distinct(F.transform("_pairs", lambda p: F.substring_index(p, "=", 1)))) == len(COLUMNS)
+    every = F.lit(True)
+    for name in COLUMNS:
+        every = every & text.rlike(rf'"{name}"[ \t\n\r]*:')
+
+    def pair(name: str) -> Column:
+        found = F.get(F.filter("_pairs", lambda p: p.startswith(f"{name}=")), F.lit(0))
+        value = F.substr(found, F.lit(len(name) + 2))
+        inner = F.regexp_replace(value, r'\A"|"\z', "")
+        for letter, char in _SPELT.items():
+            inner = F.regexp_replace(inner, rf"(?<!\\)((?:\\\\)*+)\\{letter}", f"$1{char}")
+        return F.when(value.startswith('"'), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(value)
+
+    columns = {c: F.coalesce(by_kind("csv", F.col(f"_csv.{c}")), by_kind("json", F.col(f"_json.{c}")), by_kind("logfmt", pair(c))) for c in COLUMNS}
+    corrupt = F.coalesce(F.col("_csv._corrupt"), F.col("_json._corrupt")).isNotNull()
+    whole = F.when(form == "csv", F.col("_csv").isNotNull()).when(form == "json", F.col("_json").isNotNull() & every).when(form == "logfmt", distinct)
+    read = read.withColumns({f"_c_{c}": made for c, made in columns.items()})
+    fits = F.coalesce(whole, F.lit(False)) & ~corrupt & _column_checks({c: F.col(f"_c_{c}") for c in COLUMNS})
+    read = read.withColumn("_fits", fits)
+    again = _classifier()(F.when(~F.col("_fits"), text), form, F.col("_fits"))
+    read = read.withColumn("_again", again)
+    value = {c: F.when(F.col("_fits"), F.col(f"_c_{c}")).otherwise(F.col(f"_again.{c}")) for c in COLUMNS}
+    typed = {
+        "time": F.when(value["time"] != "", value["time"].try_cast("timestamp")),
+        "status": F.nullif(value["status"], F.lit("")).try_cast("int"),
+        "duration_ms": F.nullif(value["duration_ms"], F.lit("")).try_cast("double"),
+    }
+    return read.select(*given.columns, F.col("_again.reason").alias("reason"), *[typed.get(c, value[c]).alias(c) for c in COLUMNS])
+
+
+def valid_records(raw_records: DataFrame) -> DataFrame:
+    """``record_id`` and the six typed columns of every record that fits, each once."""
+    read = classify_records(raw_records.select("record_id", "format", "raw_line"))
+    return read.where(F.col("reason").isNull()).select("record_id", *COLUMNS).distinct()
 
 
 def failing_records(raw_records: DataFrame) -> DataFrame:
-    """``record_id`` and ``reason`` of every record that does not fit its format."""
-    ship(raw_records.sparkSession)
-    rows = raw_records.select("record_id", "format", "raw_line")
-    return rows.mapInArrow(_reasons, "record_id bigint, reason string").where(F.col("reason").isNotNull()).distinct()
+    """``record_id`` and ``reason`` of every record that does not fit its format, each once."""
+    read = classify_records(raw_records.select("record_id", "format", "raw_line"))
+    return read.where(F.col("reason").isNotNull()).select("record_id", "reason").distinct()

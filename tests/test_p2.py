@@ -1,7 +1,10 @@
+import json
+import random
+
 import pytest
 
 import __spark_entry__ as driver
-from logloom.sources.records import reason
+from logloom.sources.records import classified, classify_records, failing_records, reason, valid_records
 from logloom.runtime import table
 
 CSV = '2026-05-06T06:16:22.095Z,Error,cache,201,5.0,'
@@ -51,3 +54,44 @@ def test_p2_gives_each_failing_record_once(spark, small):
     rows = [tuple(r) for r in got.collect()]
     want = {(r.record_id, y) for r in table(spark, small, "raw_records").collect() if (y := reason(r.raw_line, r.format))}
     assert len(rows) == len(want) and set(rows) == want
+
+
+def _random_record(rng):
+    kind = rng.choice(["csv", "json", "logfmt"])
+    values = {"time": rng.choice(["2026-03-08T12:00:00Z", "2026-02-30T12:00:00Z", "2026-03-08T12:00:00.5+18:00", "2026-03-08T12:00:00+18:01"]), "level": rng.choice(["info", "WARNING", "loud"]), "logger": rng.choice(["a.b", " ", "x"]), "status": rng.choice(["200", "", "600", "0200"]), "duration_ms": rng.choice(["1.5", "", "1e3", "-1", "7"]), "message": rng.choice(["plain", 'a "b", c', "", "tab\\tn=1", "line\nbreak"])}
+    if kind == "csv":
+        line = ",".join('"' + v.replace('"', '""') + '"' if rng.random() < 0.5 or set(v) & set('",\n') else v for v in values.values())
+    elif kind == "json":
+        typed = {k: (None if v == "" else v if rng.random() < 0.05 else float(v) if "." in v or "e" in v else int(v)) if k in ("status", "duration_ms") else v for k, v in values.items()}
+        line = json.dumps(typed)
+    else:
+        line = " ".join(f"{k}=" + ('"' + v.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"' if set(v) & set(' "\n\\') or rng.random() < 0.3 else v) for k, v in values.items())
+    for _ in range(rng.choice([0, 0, 1])):  # break it somewhere
+        at = rng.randrange(len(line) + 1)
+        line = line[:at] + rng.choice(['"', ",", "=", " ", "}", "\\", ""]) + line[at + rng.choice([0, 1]) :]
+    return kind, line
+
+
+def test_readers_agree_with_splitting_every_record(spark):
+    rng = random.Random(2)
+    rows = [(i, *_random_record(rng)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "record_id bigint, format string, raw_line string")
+    got = {r.record_id: r for r in classify_records(df).collect()}
+    for i, kind, line in rows:
+        why, columns = classified(line, kind)
+        assert got[i].reason == why, (kind, line)
+        if why is None:
+            assert (got[i].message, got[i].level, got[i].logger) == (columns["message"], columns["level"], columns["logger"]), line
+            assert got[i].status == (int(columns["status"]) if columns["status"] else None) and got[i].time is not None
+    assert len({r.reason for r in got.values()}) == 4
+
+
+def test_nulls_repeats_clashing_names_and_nothing(spark):
+    long = "2026-03-08T12:00:00Z,INFO,a,200,1.5," + "x" * 2_000_000
+    rows = [(1, "csv", long, "r", 1), (1, "csv", long, "r", 1), (2, None, long, "r", 1), (3, "csv", None, None, 1), (None, "json", "{}", "r", 1), (4, "tsv", "a\tb", "r", 1), (5, "logfmt", "\u3000", "r", 1)]
+    df = spark.createDataFrame(rows, "record_id bigint, format string, raw_line string, reason string, status int")
+    assert sorted((str(r.record_id), r.reason) for r in failing_records(df).collect()) == [("2", "quoting"), ("3", "column_count"), ("4", "quoting"), ("5", "column_count"), ("None", "column_count")]
+    good = valid_records(df).collect()
+    assert [(r.record_id, r.status, r.duration_ms, len(r.message)) for r in good] == [(1, 200, 1.5, 2_000_000)]
+    assert dict(valid_records(df).dtypes) == {"record_id": "bigint", "time": "timestamp", "level": "string", "logger": "string", "status": "int", "duration_ms": "double", "message": "string"}
+    assert failing_records(df.where("false")).count() == valid_records(df.where("false")).count() == 0
