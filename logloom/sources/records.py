@@ -168,7 +168,8 @@ def _classifier():
     def classes(lines: pa.Array, kinds: pa.Array, known: pa.Array) -> pa.Array:
         return _structs(lines.to_pylist(), kinds.to_pylist(), known.to_pylist())
 
-    return classes
+    # So that a filter on the reason stays above it and the records go to Python once.
+    return classes.asNondeterministic()
 
 
 # The strict shapes of whole records; all loops are possessive, so long records do not recurse.
@@ -232,10 +233,12 @@ def classify_records(raw_records: DataFrame, raw: str = "raw_line", kind: str =
     def pair(name: str) -> Column:
         found = F.get(F.filter("_pairs", lambda p: p.startswith(f"{name}=")), F.lit(0))
         value = F.substr(found, F.lit(len(name) + 2))
-        inner = F.regexp_replace(value, r'\A"|"\z', "")
+        bare = F.substr(value, F.lit(2), F.length(value) - 2)
+        inner = bare
         for letter, char in _SPELT.items():
             inner = F.regexp_replace(inner, rf"(?<!\\)((?:\\\\)*+)\\{letter}", f"$1{char}")
-        return F.when(value.startswith('"'), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(value)
+        undone = F.when(bare.contains("\\"), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(bare)
+        return F.when(value.startswith('"'), undone).otherwise(value)
 
     columns = {c: F.coalesce(by_kind("csv", F.col(f"_csv.{c}")), by_kind("json", F.col(f"_json.{c}")), by_kind("logfmt", pair(c))) for c in COLUMNS}
     corrupt = F.coalesce(F.col("_csv._corrupt"), F.col("_json._corrupt")).isNotNull()
