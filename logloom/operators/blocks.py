@@ -12,24 +12,6 @@ from pyspark.sql import functions as F
 TARGET_ROWS, MOST_BLOCKS = 1 << 16, 1 << 12
 
 
-def block_width(df: DataFrame, order: Column, target_rows: int = TARGET_ROWS) -> int:
-    """Width of a block, in units of ``order``, so that a block of one sequence holds
-    about ``target_rows`` rows even if that sequence held all rows of ``df``.
-
-    Costs one aggregate over the order column (from Parquet statistics or a scan of
-    one column). Empty input and all-null orders give 1.
-    """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
-    if not n:
-        return 1
-    return max(1, -(-(high - low + 1) // max(1, -(-n // target_rows))))
-
-
-def block_of(order: Column, width: int) -> Column:
-    """Block number of a row; null orders share block 0."""
-    return F.coalesce(F.floor(order / F.lit(width)).cast("bigint"), F.lit(0))
-
-
 def order_cuts(df: DataFrame, order: Column, target_rows: int = TARGET_ROWS) -> list[int]:
     """Where to cut ``order`` so that about ``target_rows`` rows of ``df`` lie between two
     neighbours, however unevenly its values are spread. Equal values stay together."""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import is_blank
 from logloom.functions.instants import instant
-from logloom.operators.blocks import TARGET_ROWS, block_of, block_width
+from logloom.operators.blocks import TARGET_ROWS, block_between, order_cuts
 from logloom.runtime import ship
 
 Parts = tuple[int | None, str, str, str]
@@ -222,13 +222,24 @@ def _reader() -> Callable:
 
 
 def line_entries(log_lines: DataFrame, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row per entry of each stream; repeated lines count once, blank ones never."""
+    """One row per entry of each stream: ``stream_id``, ``first_line``, ``last_line``,
+    ``ts_us`` (-1 for none), ``level``, ``component`` and ``message`` ('' for none).
+
+    Null and blank lines belong to no entry, nor do rows without stream or number. A line
+    delivered again counts once. A line before any entry that could go on with one starts
+    one. Without ``ingest_ts`` a time without year is of 1970. Other columns are ignored,
+    lines of any length are read whole, an empty table gives no rows. Blocks of about
+    ``target_rows`` rows are cut at quantiles of the numbers, so neither a hot stream nor a
+    stray number makes a large one.
+    """
     ship(log_lines.sparkSession)
-    width = block_width(log_lines, F.col("line_no"), target_rows)
-    rows = log_lines.where(~is_blank(F.col("raw"))).select("stream_id", "line_no", "raw", F.coalesce(F.year("ingest_ts"), F.lit(1970)).alias("year"))
-    read = rows.mapInArrow(_reader(), _READ).withColumn("_block", block_of(F.col("line_no"), width))
+    number = F.col("line_no").cast("bigint")
+    given = log_lines.where(F.col("stream_id").isNotNull() & number.isNotNull() & ~is_blank(F.col("raw")))
+    cuts = order_cuts(given, number, target_rows)
+    rows = given.select("stream_id", number.alias("line_no"), "raw", F.coalesce(F.year("ingest_ts"), F.lit(1970)).alias("year"))
+    read = rows.mapInArrow(_reader(), _READ).withColumn("_block", block_between(F.col("line_no"), F.lit(None).cast("bigint"), cuts, target_rows))
     along = Window.partitionBy("stream_id", "_block").orderBy("line_no")
-    once = read.withColumn("_again", F.lag("line_no").over(along).eqNullSafe(F.col("line_no"))).where(~F.col("_again"))
+    once = read.withColumn("_again", F.coalesce(F.lag("line_no").over(along) == F.col("line_no"), F.lit(False))).where(~F.col("_again"))
     counted = once.withColumn("_n", F.sum(F.col("start").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     said = F.struct("line_no", "ts_us", "level", "component", "message")
     groups = counted.groupBy("stream_id", "_block", "_n").agg(F.min(said).alias("_said"), F.max("line_no").alias("_last"))

@@ -57,3 +57,16 @@ def test_p3_joins_lines_across_blocks(spark, small, target_rows):
 def test_p3_columns(spark, small):
     got = driver.queries()["p3_found"](spark, small)
     assert got.dtypes == [("stream_id", "string"), ("first_line", "bigint"), ("last_line", "bigint"), ("ts_us", "bigint"), ("level", "string"), ("component", "string"), ("message", "string")]
+
+
+def test_nulls_repeats_long_lines_clashing_names_and_nothing(spark):
+    import datetime
+
+    seen = datetime.datetime(2026, 3, 8, 12)
+    long = "x" * 2_000_000
+    rows = [("s", 1, "\tat a.B.c(D.java:1)", seen, 1), ("s", 2, "INFO: m", None, 1), ("s", 2, "INFO: m", None, 1), ("s", 3, " " + long, seen, 1), (None, 1, "INFO m", seen, 1), ("s", None, "INFO m", seen, 1), ("s", 4, None, seen, 1), ("s", 5, " \t", seen, 1), ("t", -7, "<13>Mar  8 12:00:00 h p[1]: " + long, seen, 1), ("t", 1 << 40, "<13>Mar  8 12:00:00 h p[1]: m", None, None)]
+    df = spark.createDataFrame(rows, "stream_id string, line_no bigint, raw string, ingest_ts timestamp, level int")
+    for target in (1, 2, 1 << 16):
+        got = [(r.stream_id, r.first_line, r.last_line, r.ts_us, r.level, r.component, len(r.message)) for r in line_entries(df, target).collect()]
+        assert sorted(got) == [("s", 1, 1, -1, "", "", 19), ("s", 2, 3, -1, "INFO", "", 1), ("t", -7, -7, AT, "INFO", "p", 2_000_000), ("t", 1 << 40, 1 << 40, 5_745_600_000_000, "INFO", "p", 1)], target
+    assert line_entries(df.where("false")).count() == 0
