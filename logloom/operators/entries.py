@@ -235,7 +235,7 @@ def line_entries(log_lines: DataFrame, target_rows: int = TARGET_ROWS) -> DataFr
     ship(log_lines.sparkSession)
     number = F.col("line_no").cast("bigint")
     given = log_lines.where(F.col("stream_id").isNotNull() & number.isNotNull() & ~is_blank(F.col("raw")))
-    cuts = order_cuts(given, number, target_rows)
+    cuts = order_cuts(log_lines, number, target_rows)  # reads the numbers only
     rows = given.select("stream_id", number.alias("line_no"), "raw", F.coalesce(F.year("ingest_ts"), F.lit(1970)).alias("year"))
     read = rows.mapInArrow(_reader(), _READ).withColumn("_block", block_between(F.col("line_no"), F.lit(None).cast("bigint"), cuts, target_rows))
     along = Window.partitionBy("stream_id", "_block").orderBy("line_no")
