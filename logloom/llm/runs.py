@@ -7,13 +7,12 @@ tasks; runs that touch a block edge are joined in a second pass over edge runs o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import is_blank, saying
 from logloom.operators.blocks import TARGET_ROWS, block_between, order_cuts
-
-EVENT_TIME = ("event_time", "last_ts", "first_ts", "created_ts")
+from logloom.operators.cluster import event_time
 
 
 def collapse_runs(df: DataFrame, seq: list[str], order: str, number: str, value: str, at_us: str, weight: str, target_rows: int = TARGET_ROWS, min_rows: int = 1) -> DataFrame:
@@ -86,15 +85,14 @@ def collapse_runs(df: DataFrame, seq: list[str], order: str, number: str, value:
     )
 
 
-def event_time(prefix: str = "") -> Column:
-    """First time of an event that is filled, in the order of ``EVENT_TIME``."""
-    return F.coalesce(*[F.col(prefix + name) for name in EVENT_TIME])
-
-
 def entry_runs(entries: DataFrame, min_rows: int = 2) -> DataFrame:
-    """Runs in each stream of log entries, by line number, over what messages say."""
-    rows = entries.select(
-        "stream_id",
+    """Runs in each stream of log entries, by line number, over what messages say.
+
+    Rows without a number have no place in a sequence and are left out; rows without a
+    stream form one, named ''. Missing times count for nothing in durations.
+    """
+    rows = entries.where(F.col("line_no").isNotNull()).select(
+        F.coalesce("stream_id", F.lit("")).alias("stream_id"),
         F.col("line_no").cast("bigint").alias("line_no"),
         F.when(~is_blank(F.col("message")), saying(F.col("message"))).alias("said"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
@@ -106,18 +104,21 @@ def entry_runs(entries: DataFrame, min_rows: int = 2) -> DataFrame:
 def event_runs(events: DataFrame, min_rows: int = 2) -> DataFrame:
     """Runs in each object's events, by event time, over reason and what messages say.
 
-    A null or blank message ends a run here as well; a null reason is like no reason.
+    A null or blank message ends a run here as well; a null reason is like no reason, a
+    null namespace or name like an empty one. Events without id are left out, those without
+    any time come first in their sequence, in order of their ids.
     """
     count = F.when(F.col("series_count") > 0, F.col("series_count")).when(F.col("count") > 0, F.col("count")).otherwise(1)
     said = F.when(~is_blank(F.col("message")), F.concat(F.lower(F.coalesce("reason", F.lit(""))), F.lit("\n"), saying(F.col("message"))))
-    rows = events.select("namespace", "object_name", "event_id", said.alias("said"), F.unix_micros(event_time()).alias("us"), count.alias("times"))
+    keys = [F.coalesce(k, F.lit("")).alias(k) for k in ("namespace", "object_name")]
+    rows = events.where(F.col("event_id").isNotNull()).select(*keys, "event_id", said.alias("said"), F.unix_micros(event_time()).alias("us"), count.alias("times"))
     return collapse_runs(rows, ["namespace", "object_name"], "us", "event_id", "said", "us", "times", min_rows=min_rows)
 
 
 def all_runs(entries: DataFrame, events: DataFrame) -> DataFrame:
     """Runs of both sources with ``src`` and one ``seq_key`` for each sequence."""
     values = ["first_no", "last_no", "n_rows", "n_total", "duration_us"]
-    said = entry_runs(entries).select(F.lit("entry").alias("src"), F.coalesce("stream_id", F.lit("")).alias("seq_key"), *values)
-    key = F.concat(F.coalesce("namespace", F.lit("")), F.lit("/"), F.coalesce("object_name", F.lit("")))
+    said = entry_runs(entries).select(F.lit("entry").alias("src"), F.col("stream_id").alias("seq_key"), *values)
+    key = F.concat("namespace", F.lit("/"), "object_name")
     happened = event_runs(events).select(F.lit("event").alias("src"), key.alias("seq_key"), *values)
     return said.unionByName(happened)
