@@ -25,15 +25,15 @@ def _reject(name: str) -> None:
 _decoder = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_reject)
 
 
-def json_object(text: str) -> dict[str, Any] | None:
-    """The one JSON object that a text is, or None. A closing bracket right behind it is
-    overlooked, other content is not."""
+def json_object(text: str) -> tuple[dict[str, Any], int] | None:
+    """The one JSON object that a text is, and its length, or None. A closing bracket right
+    behind it is overlooked, other content is not."""
     try:
         data, end = _decoder.raw_decode(text)
     except (ValueError, RecursionError):
         return None
     rest = text[end:].lstrip(" \t\r\n")
-    return data if isinstance(data, dict) and (not rest or rest[0] in "}]") else None
+    return (data, end) if isinstance(data, dict) and (not rest or rest[0] in "}]") else None
 
 
 _PLAIN = re.compile(r"[^\s,\[\]{}:#&*!|>'\"%@`-](?:[^,\[\]{}:#]|:(?![\s,\[\]{}]|\Z)|(?<!\s)#)*|-(?:[^\s,\[\]{}:#](?:[^,\[\]{}:#]|:(?![\s,\[\]{}]|\Z)|(?<!\s)#)*)?|:(?![\s,\[\]{}]|\Z)(?:[^,\[\]{}:#]|:(?![\s,\[\]{}]|\Z)|(?<!\s)#)*")
@@ -104,7 +104,7 @@ class _Flow:
         if first in ",]}":
             return None
         found = _PLAIN.match(self.text, self.at)
-        if not found or not found[0]:
+        if not found or not found[0] or (found[0].rstrip() == "-" and self.text[self.at + 1 : self.at + 2] in (" ", "\t")):
             raise _Bad
         self.at = found.end()
         return _scalar(found[0].rstrip())
@@ -118,6 +118,8 @@ class _Flow:
             key = self.value(depth + 1)
             raw = self.text[start : self.at].strip()
             named = self.skip() == ":"
+            if not raw and not named:
+                raise _Bad  # a comma with nothing before it
             if named:
                 self.at += 1
                 value = None if self.skip() in (",", close) else self.value(depth + 1)
@@ -136,8 +138,26 @@ class _Flow:
         return pairs if close == "}" else items
 
 
+#: A pair of a simple map: a plain key and a plain word or a text in quotes without escapes.
+_SIMPLE = re.compile(r"""\s*([A-Za-z_][A-Za-z0-9_.]*):\s+(?:"([^"\\]*)"|((?:[A-Za-z0-9_.+]|-(?=[0-9.]))[A-Za-z0-9_.+/ -]*))\s*(?:,|\Z)""")
+
+
+def _simple_map(text: str) -> dict[str, Any] | None:
+    """A flow map of simple pairs alone, read pair by pair; None for any other."""
+    data, at, inner = {}, 0, text[1:-1]
+    while at < len(inner):
+        found = _SIMPLE.match(inner, at)
+        if not found or found[1] in _NULL or found[1] in _TRUE or found[1] in _FALSE or " -" in (found[3] or ""):
+            return None
+        data[found[1]] = found[2] if found[3] is None else _scalar(found[3].rstrip())
+        at = found.end()
+    return data or None
+
+
 def yaml_flow_map(text: str) -> dict[str, Any] | None:
     """The one YAML flow map that a text is, or None."""
+    if (simple := _simple_map(text)) is not None:
+        return simple
     flow = _Flow(text)
     try:
         data = flow.value()
@@ -205,11 +225,11 @@ class Bag:
         value = self.exact(name)
         if value is not _MISSING or "." in name:
             return value
-        if self._folded is None:
-            self._folded = {}
-            for key in sorted(self.data):
-                self._folded.setdefault(key.lower(), self.data[key])
-        return self._folded.get(name.lower(), _MISSING)
+        folded = self._folded
+        if folded is None:
+            names = "".join(self.data)
+            folded = self._folded = self.data if names == names.lower() else {key.lower(): self.data[key] for key in sorted(self.data, reverse=True)}
+        return folded.get(name.lower(), _MISSING)
 
     def present(self, names: tuple[str, ...]) -> list[Any]:
         """Values of those names that are there, in order."""
@@ -221,7 +241,7 @@ class Bag:
 
     def status(self) -> int | None:
         """HTTP status, if the bag shows a request."""
-        if all(self.exact(n) is _MISSING for n in HTTP_CONTEXT):
+        if _CONTEXT.isdisjoint(self.data) and all(self.exact(n) is _MISSING for n in _CONTEXT_PATHS):
             return None
         value = next((v for n in HTTP_STATUS if (v := self.get(n)) is not _MISSING), None)
         if isinstance(value, float):
@@ -241,6 +261,8 @@ class Bag:
 
     def flat(self) -> dict[str, str]:
         """Text of every field, and of every dotted path into nested maps."""
+        if dict not in map(type, self.data.values()):
+            return {k: v if type(v) is str else text_form(v) for k, v in self.data.items()}
         out: dict[str, str] = {}
         todo = [("", self.data)]
         while todo:
@@ -257,6 +279,7 @@ class Bag:
 
 
 MISSING = _MISSING
+_CONTEXT, _CONTEXT_PATHS = frozenset(HTTP_CONTEXT), tuple(n for n in HTTP_CONTEXT if "." in n)
 # Fields whose presence betrays a logging library, in this order.
 _LIBRARIES = (
     (("caller", "ts"), "zap"),

@@ -33,8 +33,8 @@ _STAMP = r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0
 _PREFIX = re.compile(rf"({_TIME}){_W}+([^\n]*)")
 _ONE_BLANK = re.compile(rf"{_TIME} ")
 _TRACE = re.compile(r"Traceback \(most recent call last\):|goroutine [0-9]+|Caused by:|\(?[\w./*-]+\.\w+\(.*\)|[\w.$]*?(?:Error|Exception|Panic)\b[\t\n\f\r ]*:", re.I | re.A)
-_LEAD_TIME = re.compile(rf"[\t\n\f\r \[]*(?:(?i:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\]?{_W}+\[?)?({_STAMP})(?:[\t\n\f\r \]:]|\Z)")
-_LEAD_LEVEL = re.compile(rf"[\t\n\f\r \[]*(?:{_STAMP}(?:[\t\n\f\r \]:]|\Z))?[\t\n\f\r \]\[]*((?i:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL))(?:[\t\n\f\r \]:]|\Z)")
+_LEAD_TIME = re.compile(rf"[\t\n\f\r \[]*+(?:(?i:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\]?{_W}+\[?)?({_STAMP})(?:[\t\n\f\r \]:]|\Z)")
+_LEAD_LEVEL = re.compile(rf"[\t\n\f\r \[]*+(?:{_STAMP}(?:[\t\n\f\r \]:]|\Z))?[\t\n\f\r \]\[]*+((?i:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL))(?:[\t\n\f\r \]:]|\Z)")
 _ANY_LEVEL = re.compile(r"(?:\A|[^A-Za-z0-9_])((?i:DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL))(?:[^A-Za-z0-9_]|\Z)")
 _BRACKETED = re.compile(rf"\[([^\]]+)\]{_W}+\[([^\]]+)\]{_W}+\[([^\]]+)\]{_W}*([^\n]*)")
 _KEY = re.compile(r"[A-Za-z0-9_.-]+")
@@ -48,8 +48,9 @@ _XML_CLOSE = re.compile(r"</([A-Za-z][A-Za-z0-9_.-]*)>\Z")
 _KLOG_LEVELS = {"I": INFO, "W": WARN, "E": ERROR, "F": FATAL}
 _SEVERITIES = (ERROR, ERROR, ERROR, ERROR, WARN, INFO, INFO, DEBUG)
 
-#: level or None, message, format, logger, bag or None, ts_ns or None
-Decoded = tuple[int | None, str, str, str, dict | None, int | None]
+#: level or None, message, format, logger, bag or None, ts_ns or None, JSON text of the bag
+#: where it has types, else None
+Decoded = tuple[int | None, str, str, str, dict | None, int | None, str | None]
 
 
 def _epoch_text(text: str) -> int | None:
@@ -92,14 +93,17 @@ def _braces(line: str, names: FieldNames) -> Decoded | None:
     text = line.strip(WHITE)
     if text[:1] != "{" or text[-1:] != "}":
         return None
-    data = json_object(text)
-    if data is None:
+    read = json_object(text)
+    if read:
+        data, written = read[0], text[: read[1]]
+    else:
         data = yaml_flow_map(text)
         if data is None or all(Bag(data).exact(n) is MISSING for n in names.json_level + names.json_message):
             return None
+        written = json_text(data)
     bag = Bag(data)
     message = next((s for v in bag.present(names.json_message) if (s := text_form(v))), "") or text_form(data.get("error")) or text
-    return _bag_level(bag, names.json_level), message, "json", bag.logger(), data, _bag_time(bag, names.json_time)
+    return _bag_level(bag, names.json_level), message, "json", bag.logger(), data, _bag_time(bag, names.json_time), written
 
 
 def trailing_fields(message: str) -> tuple[str, dict | None]:
@@ -121,7 +125,7 @@ def _bracketed(line: str) -> Decoded | None:
     if level is None:
         return None
     message, fields = trailing_fields(found[4])
-    return level, message, "bracketed", found[3], fields, text_time(found[1])
+    return level, message, "bracketed", found[3], fields, text_time(found[1]), None
 
 
 _QUOTED = re.compile(r'"((?:[^"\\]|\\.)*+)("?)', re.S)
@@ -157,7 +161,7 @@ def _logfmt(line: str, names: FieldNames) -> Decoded | None:
     bag = Bag(fields)
     named = bag.first_exact(names.logfmt_level)
     message, time = bag.first_exact(names.logfmt_message), bag.first_exact(names.logfmt_time)
-    return None if named is None else word_level(named), line if message is None else message, "logfmt", bag.first_exact(LOGFMT_LOGGER) or "", fields, None if time is None else text_time(time)
+    return None if named is None else word_level(named), line if message is None else message, "logfmt", bag.first_exact(LOGFMT_LOGGER) or "", fields, None if time is None else text_time(time), None
 
 
 def _xml(line: str, names: FieldNames) -> Decoded | None:
@@ -184,7 +188,7 @@ def _xml(line: str, names: FieldNames) -> Decoded | None:
     named = bag.first_exact(XML_MESSAGE)
     message = inner or (line if named is None else named)
     time = bag.first_exact(XML_TIME)
-    return _bag_level(bag, names.json_level), message, "xml", bag.first_exact(XML_LOGGER) or "", fields, None if time is None else text_time(time)
+    return _bag_level(bag, names.json_level), message, "xml", bag.first_exact(XML_LOGGER) or "", fields, None if time is None else text_time(time), None
 
 
 def csv_columns(line: str) -> list[str]:
@@ -229,7 +233,7 @@ def _csv(line: str) -> Decoded | None:
     if len(columns) < 3 or ts is None or at is None:
         return None
     message = ", ".join(c.strip(WHITE) for i, c in enumerate(columns) if i not in (0, at))
-    return word_level(columns[at]), message, "text", "", None, ts
+    return word_level(columns[at]), message, "text", "", None, ts, None
 
 
 def _without(text: str, word: str) -> str:
@@ -249,7 +253,7 @@ def _plain(line: str) -> Decoded:
     for _ in range(2):
         said = _without(said, time[1]) if time else said
         said = _without(said, word[1]) if word else said
-    return word_level(word[1]) if word else None, said.strip(WHITE) or line.strip(WHITE), "text", "", None, text_time(time[1]) if time else None
+    return word_level(word[1]) if word else None, said.strip(WHITE) or line.strip(WHITE), "text", "", None, text_time(time[1]) if time else None, None
 
 
 def decode_payload(line: str, names: FieldNames = DEFAULT_NAMES) -> Decoded:
@@ -264,11 +268,11 @@ def decode_payload(line: str, names: FieldNames = DEFAULT_NAMES) -> Decoded:
     if "=" in line and (found := _logfmt(line, names)):
         return found
     if first in ("I", "W", "E", "F") and (klog := _KLOG.fullmatch(line)):
-        return _KLOG_LEVELS[klog[1]], klog[2], "text", "", None, None
+        return _KLOG_LEVELS[klog[1]], klog[2], "text", "", None, None, None
     if first == "<" and (priority := _PRIORITY.match(line)) and int(priority[1]) <= 191:
-        return _SEVERITIES[int(priority[1]) % 8], line[priority.end() :].strip(WHITE), "text", "", None, None
+        return _SEVERITIES[int(priority[1]) % 8], line[priority.end() :].strip(WHITE), "text", "", None, None, None
     if "HTTP/" in line and (access := _ACCESS.search(line)) and (level := status_level(int(access[1]))) is not None:
-        return level, line, "text", "", None, None
+        return level, line, "text", "", None, None, None
     if lead == "<" and (found := _xml(line, names)):
         return found
     if "," in line and (found := _csv(line)):
@@ -281,7 +285,7 @@ def decode_line(line: str, names: FieldNames = DEFAULT_NAMES) -> tuple[Decoded,
     a collector in front."""
     if line[:1].isdigit() and (prefix := _PREFIX.fullmatch(line)) and (ts := text_time(prefix[1])) is not None:
         found = decode_payload(prefix[2], names)
-        found, payload = (*found[:5], ts), prefix[2]
+        found, payload = (*found[:5], ts, found[6]), prefix[2]
     else:
         found, payload = decode_payload(line, names), line
     return found, payload.strip(WHITE) if found[2] == "json" else payload
@@ -299,8 +303,12 @@ SCHEMA = "level int, level_detected boolean, message string, format string, logg
 _LONE = re.compile("[\ud800-\udfff]")
 
 
-def _clean(text: str) -> str:
-    return _LONE.sub("�", text) if not text.isascii() and _LONE.search(text) else text
+def _texts(texts: list[str | None]) -> pa.Array:
+    """Texts as an array; halves of surrogate pairs, which UTF-8 cannot hold, replaced."""
+    try:
+        return pa.array(texts, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([x and _LONE.sub("\ufffd", x) for x in texts], pa.string())
 
 
 def _kernel(column: str, names: FieldNames) -> Callable:
@@ -309,31 +317,30 @@ def _kernel(column: str, names: FieldNames) -> Callable:
             levels, messages, formats, loggers, bags, times, raws, goes_on = [], [], [], [], [], [], [], []
             keys, values, offsets = [], [], [0]
             for line in batch.column(column).to_pylist():
-                (level, message, form, logger, data, ts), raw = decode_line(line or "", names)
+                (level, message, form, logger, data, ts, written), raw = decode_line(line or "", names)
                 levels.append(level)
-                messages.append(_clean(message))
+                messages.append(message)
                 formats.append(form)
-                loggers.append(_clean(logger))
+                loggers.append(logger)
                 times.append(ts)
                 raws.append(raw)
                 goes_on.append(level is None and continues(line or ""))
+                bags.append(written)
                 if data is None:
                     offsets[-1] = None
-                    bags.append(None)
                 else:
-                    for k, v in Bag(data).flat().items():
-                        keys.append(_clean(k))
-                        values.append(_clean(v))
-                    bags.append(_clean(json_text(data)))
+                    flat = Bag(data).flat()
+                    keys += flat
+                    values += flat.values()
                 offsets.append(len(keys))
             ready = [
                 pa.array([DEBUG if x is None else x for x in levels], pa.int32()),
                 pa.array([x is not None for x in levels], pa.bool_()),
-                pa.array(messages, pa.string()),
+                _texts(messages),
                 pa.array(formats, pa.string()),
-                pa.array(loggers, pa.string()),
-                pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())),
-                pa.array(bags, pa.string()),
+                _texts(loggers),
+                pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), _texts(keys), _texts(values)),
+                _texts(bags),
                 pa.array(times, pa.int64()),
                 pa.array(raws, pa.string()),
                 pa.array(goes_on, pa.bool_()),
@@ -351,8 +358,8 @@ def decode(lines: DataFrame, column: str = "raw", names: FieldNames = DEFAULT_NA
 
     A null line is like an empty one: DEBUG, no level, no fields. ``level`` is DEBUG where
     the line names none and ``level_detected`` says so. ``fields`` holds the text of every
-    field and dotted path and is null for grammars without fields; ``fields_json`` keeps
-    types. ``may_continue`` marks lines without a level that may belong to the entry
+    field and dotted path and is null for grammars without fields; ``fields_json`` is the
+    JSON text of bags with types (JSON and YAML lines), null for others. ``may_continue`` marks lines without a level that may belong to the entry
     before. Columns of ``lines`` with names of ``SCHEMA`` are replaced.
     """
     ship(lines.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import is_blank
-from logloom.operators.blocks import TARGET_ROWS, block_between, order_cuts
+from logloom.operators.blocks import block_between, order_cuts
 from logloom.operators.decode import decode
 from logloom.operators.patterns import matches_any
 from logloom.operators.predicates import where_column
@@ -19,6 +19,8 @@ from logloom.options import QueryOptions
 from logloom.runtime import materialize
 
 BLOCK = "_block"
+#: Rows of a block: with their texts some 100 MB to sort in a task.
+TARGET_ROWS = 1 << 18
 
 
 def cut_blocks(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:

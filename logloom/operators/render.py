@@ -49,7 +49,17 @@ _decoder = json.JSONDecoder(parse_int=Number, parse_float=Number)
 
 
 def _bag(text: str) -> dict:
-    return _decoder.decode(text)
+    data = _decoder.decode(text)
+    return _whole(data) if "\\ud" in text or "\\uD" in text else data
+
+
+def _whole(value: object) -> object:
+    """A value without halves of surrogate pairs."""
+    if isinstance(value, dict):
+        return {_whole(k): _whole(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_whole(v) for v in value]
+    return value if isinstance(value, Number) or not isinstance(value, str) else re.sub("[\ud800-\udfff]", "\ufffd", value)
 
 
 def _safe_values(value: object) -> object:
@@ -151,7 +161,7 @@ def projected_text(df: DataFrame, keys: tuple[str, ...], level: str = "eff_level
         kind, text = key_kind(key), resolve(key, **own)
         value = {LEVEL: text, TIME: display_time(F.col("ts_ns")), LOGGER: sanitize(text), MESSAGE: quoted(text)}.get(kind)
         if value is None:
-            value = quoted(text) if typed is None else F.get(typed, F.lit(i))
+            value = quoted(text) if typed is None else F.coalesce(F.get(typed, F.lit(i)), quoted(text))
         parts.append(F.concat(F.lit(sanitized(key) + "="), value))
     return F.nullif(F.concat_ws(" ", *parts), F.lit(""))
 
@@ -173,7 +183,7 @@ def projected_json(df: DataFrame, keys: tuple[str, ...], level: str = "eff_level
     for i, key in enumerate(ordered):
         value = _json_string(sanitize(resolve(key, **own)))
         if typed is not None and key_kind(key) in (STRUCTURED, LOGGER):
-            value = F.coalesce(F.get(typed, F.lit(i)), value) if key_kind(key) == LOGGER else F.get(typed, F.lit(i))
+            value = F.coalesce(F.get(typed, F.lit(i)), value)
         parts.append(F.concat(F.lit(json.dumps(sanitized(key), ensure_ascii=False) + ":"), value))
     inner = F.concat_ws(",", *parts)
     return F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}")))
