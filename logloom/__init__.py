@@ -1,3 +1,3 @@
 """logloom: log analytics and training-data preparation on PySpark DataFrames."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -1 +1 @@
-"""Block arithmetic for operators that depend on order."""
+"""Operators over lines, entries, cluster tables and records."""

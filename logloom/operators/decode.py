@@ -311,7 +311,7 @@ def _texts(texts: list[str | None]) -> pa.Array:
         return pa.array([x and _LONE.sub("\ufffd", x) for x in texts], pa.string())
 
 
-def _kernel(column: str, names: FieldNames) -> Callable:
+def _kernel(column: str, names: FieldNames, with_bags: bool = True) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             levels, messages, formats, loggers, bags, times, raws, goes_on = [], [], [], [], [], [], [], []
@@ -325,8 +325,8 @@ def _kernel(column: str, names: FieldNames) -> Callable:
                 times.append(ts)
                 raws.append(raw)
                 goes_on.append(level is None and continues(line or ""))
-                bags.append(written)
-                if data is None:
+                bags.append(written if with_bags else None)
+                if data is None or not with_bags:
                     offsets[-1] = None
                 else:
                     flat = Bag(data).flat()
@@ -353,19 +353,20 @@ def _kernel(column: str, names: FieldNames) -> Callable:
 _NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
-def decode(lines: DataFrame, column: str = "raw", names: FieldNames = DEFAULT_NAMES) -> DataFrame:
+def decode(lines: DataFrame, column: str = "raw", names: FieldNames = DEFAULT_NAMES, bags: bool = True) -> DataFrame:
     """Entries of raw lines: all columns of ``lines`` and those of ``SCHEMA``.
 
     A null line is like an empty one: DEBUG, no level, no fields. ``level`` is DEBUG where
     the line names none and ``level_detected`` says so. ``fields`` holds the text of every
     field and dotted path and is null for grammars without fields; ``fields_json`` is the
-    JSON text of bags with types (JSON and YAML lines), null for others. ``may_continue`` marks lines without a level that may belong to the entry
+    JSON text of bags with types (JSON and YAML lines), null for others; without ``bags``
+    both are null for all, which saves time where nobody looks at them. ``may_continue`` marks lines without a level that may belong to the entry
     before. Columns of ``lines`` with names of ``SCHEMA`` are replaced.
     """
     ship(lines.sparkSession)
     given = lines.select([c for c in lines.columns if c == column or c not in _NAMES])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.mapInArrow(_kernel(column, names), f"{schema}, {SCHEMA}")
+    return given.mapInArrow(_kernel(column, names, bags), f"{schema}, {SCHEMA}")
 
 
 __all__ = ["LEVEL_NAMES", "SCHEMA", "decode", "decode_line", "number_level"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.functions.fields import LOGGER, STRUCTURED
 from logloom.functions.text import is_blank
 from logloom.operators.blocks import block_between, order_cuts
 from logloom.operators.decode import decode
@@ -126,16 +127,18 @@ def tail_entries(kept: DataFrame, n: int, seq: str = "stream_id", order: str = "
     return first.where((F.col("_after") < n) | F.col("_begun").isNull()).drop("_left", "_after", "_begun")
 
 
-def query_lines(lines: DataFrame, options: QueryOptions, seq: str = "stream_id", order: str = "line_no", raw: str = "raw", target_rows: int = TARGET_ROWS) -> DataFrame:
+def query_lines(lines: DataFrame, options: QueryOptions, seq: str = "stream_id", order: str = "line_no", raw: str = "raw", target_rows: int = TARGET_ROWS, bags: bool = True) -> DataFrame:
     """Decode, group, filter and tail raw lines: the rows that a query shows or counts.
 
     Null and blank lines are dropped first; a line delivered again (same stream, same
     number) counts once. Rows with a null number come first in their stream; rows of a null
-    stream form one. An empty table gives no rows.
+    stream form one. An empty table gives no rows. Without ``bags`` the fields of lines are
+    read only if a predicate needs them, and come out null else.
     """
     some = lines.where(~is_blank(F.col(raw)))
     cut, many = cut_blocks(some, order, target_rows)
-    decoded = decode(cut, raw, options.names)
+    needs = any(p.kind in (STRUCTURED, LOGGER) for p in options.where)
+    decoded = decode(cut, raw, options.names, bags or needs)
     if many:
         decoded = materialize(decoded, "decoded")
     again = F.lag(F.struct(F.col(order), F.lit(1))).over(Window.partitionBy(seq, BLOCK).orderBy(order))

@@ -375,7 +375,7 @@ def d26_whole_numbers(spark, sf_dir):
 
 def kept(**options) -> Query:
     def run(spark, sf_dir):
-        made = query_lines(lines(spark, sf_dir), QueryOptions.of(**options))
+        made = query_lines(lines(spark, sf_dir), QueryOptions.of(**options), bags=False)
         return made.select(*ENTRY_KEYS, "eff_level", "is_cont")
 
     return run
@@ -417,7 +417,7 @@ def e12_not_blank(spark, sf_dir):
 @query
 def f4_tail_digest(spark, sf_dir):
     """Levels of the last 5 entries of every stream."""
-    return digest.level_counts(query_lines(lines(spark, sf_dir), QueryOptions.of("TRACE", tail=5))).select("level", "level_name", "n")
+    return digest.level_counts(query_lines(lines(spark, sf_dir), QueryOptions.of("TRACE", tail=5), bags=False)).select("level", "level_name", "n")
 
 
 # --- G: digest ----------------------------------------------------------------
@@ -452,7 +452,7 @@ def g5_top_templates(spark, sf_dir):
 @query
 def g6_digest_lines(spark, sf_dir):
     """Levels of all raw lines with inherited levels, over all streams."""
-    return digest.level_counts(query_lines(lines(spark, sf_dir), QueryOptions.of("TRACE"))).select("level", "level_name", "n")
+    return digest.level_counts(query_lines(lines(spark, sf_dir), QueryOptions.of("TRACE"), bags=False)).select("level", "level_name", "n")
 
 
 @query

@@ -1 +1 @@
-"""Place for readers; there are none yet."""
+"""Readers of lines and of records of declared formats."""

@@ -1 +1 @@
-"""Place for Structured Streaming forms; there are none yet."""
+"""The operators over streams that do not end."""
