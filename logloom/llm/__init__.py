@@ -1,5 +1,5 @@
-"""Operators for training data: frequent items, failing records, runs, instants,
-encoding, leaks, look-alikes.
+"""Operators for training data: frequent items, runs, encoding, leaks, look-alikes.
 
-Only the query registry in plans imports this package.
+Nothing else in the library imports this package; the driver contract adds its queries
+where it can be imported.
 """
