@@ -171,9 +171,11 @@ def pod_events(events: DataFrame, pods: DataFrame | None = None, limit: int | No
         own = own.join(small(pods.select("namespace", F.col("pod").alias("object_name")).distinct()), ["namespace", "object_name"], "left_semi")
     if limit is None:
         return own.withColumn("truncated", F.lit(False))
+    # The first limit + 1 of each pod are found before rows are shuffled to one place.
     each = Window.partitionBy("namespace", "object_name")
-    ranked = own.withColumns({"_place": F.row_number().over(each.orderBy("pos", "event_id")), "_n": F.count(F.lit(1)).over(each)})
-    return ranked.where(F.col("_place") <= limit).withColumn("truncated", F.col("_n") > limit).drop("_place", "_n")
+    first = own.withColumn("_place", F.row_number().over(each.orderBy("pos", "event_id"))).where(F.col("_place") <= limit + 1)
+    told = first.withColumn("truncated", F.max("_place").over(each) > limit)
+    return told.where(F.col("_place") <= limit).drop("_place")
 
 
 def normal_event(events: DataFrame) -> DataFrame:

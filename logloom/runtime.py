@@ -1,7 +1,7 @@
 """Session helpers shared by all operators.
 
-Nothing here is global state of the library: the helpers read the session they
-are given, so several sessions can live side by side.
+The helpers read the session they are given, so several sessions can live side by side;
+the only setting they make is a folder for intermediate tables where none is set.
 """
 
 from __future__ import annotations
@@ -76,14 +76,15 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage durably.
 
-    A lost executor loses nothing of it, and later readers prune columns. The table
-    is removed when the driver ends.
+    A lost executor loses nothing of it, and later readers prune columns. The file system
+    is asked to remove the table when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/logloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if path.startswith("file://"):
-        atexit.register(shutil.rmtree, path[len("file://") :], True)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
 
 
