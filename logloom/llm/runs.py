@@ -32,12 +32,12 @@ def collapse_runs(df: DataFrame, seq: list[str], order: str, number: str, value:
     rows = df.select(
         *[F.col(s).alias(k) for s, k in zip(seq, keys, strict=True)],
         F.col(order).cast("bigint").alias("_order"),
-        F.col(number).alias("_no"),
+        F.col(number).cast("bigint").alias("_no"),
         F.col(value).alias("_value"),
         F.col(at_us).cast("bigint").alias("_us"),
         F.col(weight).cast("bigint").alias("_weight"),
     )
-    rows = rows.withColumn("_block", block_between(F.col("_order"), F.col("_no"), order_cuts(rows, F.col("_order"), target_rows), target_rows))
+    rows = rows.withColumn("_block", block_between(F.col("_order"), F.col("_no"), order_cuts(rows, F.col("_order"), target_rows, F.col("_no")), target_rows))
     part = [*keys, "_block"]
     along = Window.partitionBy(*part).orderBy("_order", "_no")
     once = rows.withColumn("_seen", F.lag(F.struct("_order", "_no")).over(along).eqNullSafe(F.struct("_order", "_no")) & F.col("_no").isNotNull()).where(~F.col("_seen"))

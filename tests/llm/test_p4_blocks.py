@@ -43,3 +43,19 @@ def test_nulls_repeats_ties_clashing_names_and_nothing(spark):
     want = [("entry", "", 1, 2, 2, 2, 0), ("entry", "l", 1, 2, 2, 2, 0), ("entry", "s", 1, 2, 2, 2, 0), ("event", "/", 1, 2, 2, 6, 0), ("event", "n/p", 7, 8, 2, 4, 0)]
     assert sorted(map(tuple, all_runs(entries, events).collect())) == want
     assert all_runs(entries.where("false"), events.where("false")).count() == 0
+
+
+def test_many_rows_at_one_time_are_many_blocks(spark):
+    # a third of the rows share one time, among them runs that cross the cuts
+    rows = [("a", 500 if 300 <= i < 600 else i, (i * 7919) % 1009, i // 40 if i < 450 else "z", i, 1) for i in range(900)]
+    df = spark.createDataFrame([(k, o, n, str(v), t, w) for k, o, n, v, t, w in rows], "k string, o bigint, n bigint, v string, t bigint, w int")
+    cuts = order_cuts(df, F.col("o"), 50, F.col("n"))
+    sizes = [r["count"] for r in df.groupBy(block_between(F.col("o"), F.col("n"), cuts, 50)).count().collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 130
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    at = {(r.o, r.n): r.b for r in df.select("o", "n", block_between(F.col("o"), F.col("n"), cuts, 50).alias("b")).collect()}
+    placed = [at[(r[1], r[2])] for r in ordered]
+    assert placed == sorted(placed)
+    want = sorted(map(tuple, collapse_runs(df, ["k"], "o", "n", "v", "t", "w").collect()))
+    for size in (3, 50):
+        assert sorted(map(tuple, collapse_runs(df, ["k"], "o", "n", "v", "t", "w", target_rows=size).collect())) == want
