@@ -40,6 +40,19 @@ def order_cuts(df: DataFrame, order: Column, target_rows: int = TARGET_ROWS, num
     return sorted(cuts, key=lambda c: (c[0], c[1] is not None, c[1] or 0))
 
 
+def sequence_cuts(df: DataFrame, seq: str, order: Column, target_rows: int = TARGET_ROWS) -> list[Cut]:
+    """Cuts for the sequences of ``df`` that hold more than ``target_rows`` rows; none if
+    there are no such sequences. What comes together is one count for each sequence, partly
+    summed before it is shuffled."""
+    crowded = df.groupBy(F.col(seq).alias("_seq")).agg(F.count(order).alias("_n")).where(F.col("_n") > target_rows)
+    most = crowded.agg(F.max("_n"), F.count(F.lit(1))).first()
+    if not most[1]:
+        return []
+    # Few sequences can be that long: no more than all rows by target_rows.
+    rows = df.select(F.col(seq).alias("_of"), order.alias("_order")).join(crowded.select("_seq"), F.col("_of").eqNullSafe(F.col("_seq")), "left_semi")
+    return order_cuts(rows, F.col("_order"), target_rows)
+
+
 def block_between(order: Column, number: Column, cuts: list[Cut], target_rows: int = TARGET_ROWS) -> Column:
     """Block number of a row: even, by ``cuts``; odd for a null ``order``, by ``number``. A
     binary search for the last cut that is not behind the row."""

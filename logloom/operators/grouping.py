@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.fields import LOGGER, STRUCTURED
 from logloom.functions.text import is_blank
-from logloom.operators.blocks import block_between, order_cuts
+from logloom.operators.blocks import block_between, sequence_cuts
 from logloom.operators.decode import decode
 from logloom.operators.patterns import matches_any
 from logloom.operators.predicates import where_column
@@ -24,10 +24,10 @@ BLOCK = "_block"
 TARGET_ROWS = 1 << 18
 
 
-def cut_blocks(df: DataFrame, order: str, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with the block of each row, and whether there is more than one block."""
+def cut_blocks(df: DataFrame, seq: str, order: str, target_rows: int = TARGET_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` with the block of each row, and whether any sequence may have several."""
     number = F.col(order).cast("bigint")
-    cuts = order_cuts(df, number, target_rows)
+    cuts = sequence_cuts(df, seq, number, target_rows)
     return df.withColumn(BLOCK, block_between(number, F.lit(None).cast("bigint"), cuts, target_rows)), bool(cuts)
 
 
@@ -136,7 +136,7 @@ def query_lines(lines: DataFrame, options: QueryOptions, seq: str = "stream_id",
     read only if a predicate needs them, and come out null else.
     """
     some = lines.where(~is_blank(F.col(raw)))
-    cut, many = cut_blocks(some, order, target_rows)
+    cut, many = cut_blocks(some, seq, order, target_rows)
     needs = any(p.kind in (STRUCTURED, LOGGER) for p in options.where)
     decoded = decode(cut, raw, options.names, bags or needs)
     if many:

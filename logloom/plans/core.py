@@ -7,7 +7,6 @@ Names begin with the operator's id in the inventory. Log queries decode the raw
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from logloom.operators.grouping import query_lines
 from logloom.operators.predicates import parse_predicate, where_column
 from logloom.operators.timeline import event_items, log_items, notices, termination_items, timeline
 from logloom.options import QueryOptions
-from logloom.runtime import materialize, shared_folder, table
+from logloom.runtime import materialize, scratch, table
 from logloom.sources import lines as sources
 from logloom.streaming.follow import follow, start
 
@@ -66,7 +65,7 @@ def a1_text_files(spark, sf_dir):
     """Lines written to text files and read back: lines and bytes of each stream. Line
     feeds separate, carriage returns go."""
     own = once(table(spark, sf_dir, "log_lines").where(F.col("raw").isNotNull()), *ENTRY_KEYS)
-    path = f"{shared_folder(spark)}/logloom/text-{uuid4().hex}"
+    path = f"{scratch(spark, 'text')}/lines"
     own.select("raw").write.text(path, lineSep="\n")
     read = sources.read_lines(spark, path)
     return read.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("raw")).alias("n_chars"))
@@ -567,7 +566,7 @@ def k6_container_rows(spark, sf_dir):
 def l1_follow(spark, sf_dir):
     """Kept lines of all streams as they arrive: the same rows as in a batch."""
     own = materialize(once(lines(spark, sf_dir), *ENTRY_KEYS).select(*ENTRY_KEYS, "raw"), "arriving")
-    place = f"{shared_folder(spark)}/logloom/follow-{uuid4().hex}"
+    place = scratch(spark, "follow")
     arriving = spark.readStream.schema(own.schema).parquet(own.inputFiles()[0].rpartition("/")[0])
     start(follow(arriving, QueryOptions.of("WARN", exclude=("amber",))), f"{place}/out", f"{place}/state", once=True).awaitTermination()
     return spark.read.parquet(f"{place}/out").select(*ENTRY_KEYS, "eff_level", "is_cont")

@@ -73,19 +73,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; the file system is asked to remove it when the
+    driver ends."""
+    path = f"{shared_folder(spark)}/logloom/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # only what exists can be marked
+    files.deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage durably.
 
-    A lost executor loses nothing of it, and later readers prune columns. The file system
-    is asked to remove the table when the driver ends.
+    A lost executor loses nothing of it, and later readers prune columns.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/logloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession, name)}/rows"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
