@@ -343,3 +343,40 @@ SQL |= {
     "k5_notices": f"WITH {PODS_EVENTS} SELECT DISTINCT namespace, object_name AS pod, '[notice] event list truncated to the first {MAX_EVENTS} events' AS line FROM ranked WHERE n_all > {MAX_EVENTS}",
     "k6_container_rows": f"WITH st AS (SELECT namespace, pod, name, coalesce(ready, false) AS ready, {STATE} AS status, row_number() OVER (PARTITION BY namespace, pod, name ORDER BY {RANK} DESC, pos DESC) AS k FROM container_statuses) SELECT c.namespace, c.pod, c.pos, CASE WHEN st.ready THEN '✓' ELSE '✗' END || ' ' || c.name || CASE WHEN coalesce(c.kind, '') <> '' THEN ' [' || c.kind || ']' ELSE '' END || ' [' || st.status || '] ()' AS row FROM container_statuses c JOIN st ON st.namespace = c.namespace AND st.pod = c.pod AND st.name = c.name AND st.k = 1",
 }
+
+# Records: how each splits, its six columns as text, and the first reason that applies.
+_F = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_TOKEN = r'(?:[^\s"=]*=(?:"(?:[^"\\]|\\(?s:.))*"|[^\s"]*)|[^\s"=]+)'
+_SIX = ("time", "level", "logger", "status", "duration_ms", "message")
+_names = "['duration_ms', 'level', 'logger', 'message', 'status', 'time']"
+
+
+def _csv_column(i: int) -> str:
+    parts = ",".join(f"({_F})" if k == i else _F for k in range(6))
+    value = f"regexp_extract(raw_line, '^{parts}$', 1)"
+    return f"""CASE WHEN starts_with({value}, '"') THEN replace(substr({value}, 2, length({value}) - 2), '""', '"') ELSE {value} END"""
+
+
+def _json_column(name: str) -> str:
+    if name in ("status", "duration_ms"):
+        return rf"""CASE WHEN json_type(j, '$.{name}') = 'NULL' THEN '' WHEN json_type(j, '$.{name}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN regexp_extract(raw_line, '"{name}"\s*:\s*([^,}}\s]+)', 1) END"""
+    return f"CASE WHEN json_type(j, '$.{name}') = 'VARCHAR' THEN json_extract_string(j, '$.{name}') END"
+
+
+def _logfmt_column(name: str) -> str:
+    value = f"substr(list_filter(tokens, lambda t: starts_with(t, '{name}='))[1], {len(name) + 2})"
+    return rf"""CASE WHEN starts_with({value}, '"') THEN regexp_replace(substr({value}, 2, length({value}) - 2), '(?s)\\(.)', '\1', 'g') ELSE {value} END"""
+
+
+_columns = ", ".join(f"CASE format WHEN 'csv' THEN {_csv_column(i)} WHEN 'json' THEN {_json_column(c)} ELSE {_logfmt_column(c)} END AS c_{c}" for i, c in enumerate(_SIX))
+_zone = "(?:Z|[+-](?:(?:0[0-9]|1[0-7]):[0-5][0-9]|18:00))"
+_clock = "(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
+SQL["p2_found"] = rf"""WITH r AS (SELECT DISTINCT record_id, format, raw_line FROM raw_records),
+split AS (SELECT *, coalesce(regexp_full_match(raw_line, '{BLANK}*'), true) AS empty, CASE WHEN format = 'json' AND json_valid(raw_line) THEN raw_line::JSON END AS j, CASE WHEN format = 'logfmt' THEN regexp_extract_all(raw_line, '{_TOKEN}') END AS tokens FROM r),
+counted AS (SELECT *, CASE format WHEN 'csv' THEN regexp_full_match(raw_line, '{_F}(?:,{_F})*') WHEN 'json' THEN j IS NOT NULL AND json_type(j) = 'OBJECT' ELSE regexp_full_match(raw_line, '\s*{_TOKEN}(?:\s+{_TOKEN})*\s*') END AS splits,
+  CASE format WHEN 'csv' THEN regexp_full_match(raw_line, '{_F}(?:,{_F}){{5}}') WHEN 'json' THEN list_sort(json_keys(j)) = {_names} ELSE list_sort(list_transform(tokens, lambda t: split_part(t, '=', 1))) = {_names} AND len(list_filter(tokens, lambda t: NOT contains(t, '='))) = 0 END AS fits FROM split),
+cols AS (SELECT record_id, empty, splits, fits, {_columns} FROM counted),
+why AS (SELECT record_id, CASE WHEN empty THEN 'column_count' WHEN NOT splits THEN 'quoting' WHEN NOT fits THEN 'column_count'
+  WHEN coalesce(regexp_full_match(c_time, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_clock}(?:\.[0-9]+)?{_zone}') AND try_cast(substr(c_time, 1, 10) AS DATE) IS NOT NULL AND upper(c_level) IN ('TRACE', 'DEBUG', 'INFO', 'WARN', 'WARNING', 'ERROR', 'FATAL')
+    AND NOT regexp_full_match(c_logger, '{BLANK}*') AND regexp_full_match(c_status, '(?:0*[1-5][0-9]{{2}})?') AND regexp_full_match(c_duration_ms, '(?:[0-9]+(?:\.[0-9]+)?)?') AND c_message IS NOT NULL, false) THEN NULL ELSE 'value' END AS reason FROM cols)
+SELECT record_id, reason FROM why WHERE reason IS NOT NULL"""
