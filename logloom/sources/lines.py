@@ -14,15 +14,17 @@ from logloom.options import since_start
 MAX_LINE = 1 << 20
 
 
-def read_lines(spark: SparkSession, path: str, most: int = MAX_LINE) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, most: int = MAX_LINE, skip_failed: bool = False) -> DataFrame:
     """Lines of text files as ``stream_id`` (the file), ``line_no`` and ``raw``.
 
     Lines end at a line feed only; a carriage return before it goes, longer lines than
     ``most`` bytes are cut and marked. ``line_no`` rises along a file but has gaps: it is
     made of the byte at which the file's split begins and the count of lines in it. A file that
-    does not exist is an error; an empty one gives no rows.
+    does not exist is an error; an empty one gives no rows. With ``skip_failed`` a file that
+    breaks off gives the lines read so far and the others go on, so a digest survives it.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("stream_id"), F.col("_metadata.file_block_start").alias("_at"))
+    reader = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", str(skip_failed).lower())
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("stream_id"), F.col("_metadata.file_block_start").alias("_at"))
     # Within a split lines come in order and the lower 33 bits count them; a split holds
     # fewer lines than bytes, so the place of the split plus the count rises along the file.
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

@@ -61,3 +61,19 @@ def test_one_container(spark, small):
     assert {r.stream_id for r in own.select("stream_id").distinct().collect()} == {first.stream_id}
     label = sources.labelled_lines(lines, spark.read.parquet(f"{small}/pods.parquet"), streams, "app").select(sources.prefixed(F.col("label"), F.col("raw")).alias("x"))
     assert label.where("x like '%/% %'").count() > 0
+
+
+def test_a_digest_survives_a_stream_that_fails(spark, tmp_path):
+    import gzip
+
+    from logloom.operators.digest import totals
+    from logloom.operators.grouping import query_lines
+    from logloom.options import QueryOptions
+
+    (tmp_path / "a.log").write_text("INFO one\nERROR two\n")
+    (tmp_path / "b.log.gz").write_bytes(gzip.compress(b"WARN three\n" * 9)[:-12] + b"broken")
+    lines = sources.read_lines(spark, str(tmp_path), skip_failed=True)
+    kept = query_lines(lines, QueryOptions.of("TRACE"))
+    assert {r.raw for r in kept.collect()} >= {"INFO one", "ERROR two"} and totals(kept).first().lines >= 2
+    with pytest.raises(Exception):  # noqa: B017
+        sources.read_lines(spark, str(tmp_path)).collect()
